@@ -34,7 +34,7 @@ from corvane.llm.common import WORD, written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-STEPS = 8
+STEPS = 11
 #: Bits of a document's place in its source, and bits that one level of the histogram resolves.
 PLACE_BITS, LEVEL_BITS = 36, 12
 
@@ -90,7 +90,11 @@ def tilts(grouped: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = S
         )
         low = F.when(F.col("got") < F.col("target"), F.col("tilt")).otherwise(F.col("low"))
         high = F.when(F.col("got") < F.col("target"), F.col("high")).otherwise(F.col("tilt"))
-        step = F.col("tilt") + F.try_divide(F.col("target") - F.col("got"), F.col("slope"))
+        # on the logarithm of what is taken, or of what is left out, the gradient is nearly straight
+        out, goal = cap * F.col("source_size") - F.col("got"), cap * F.col("source_size") - F.col("target")
+        by_out = F.log(F.try_divide(out, goal)) * F.try_divide(out, F.col("slope"))
+        by_got = F.log(F.try_divide(F.col("target"), F.col("got"))) * F.try_divide(F.col("got"), F.col("slope"))
+        step = F.col("tilt") + F.when(F.col("target") > goal, by_out).otherwise(by_got)
         inside = (step > F.col("low")) & (step < F.col("high"))
         moved = sums.withColumn("low", low).withColumn("high", high)
         moved = moved.withColumn("tilt", F.when(inside, step).otherwise((F.col("low") + F.col("high")) / 2))

@@ -5,7 +5,8 @@ Every word and every pair of neighbouring words of a document is hashed to one o
 trusted rows for the target.  With target counts t (scaled to the raw total), raw counts r
 and a prior weight a, a cell's weight is log((t + a) / (r + a)): the log-likelihood ratio of
 two multinomials smoothed by the same prior, so that a cell that neither has seen much says
-little.  A document's score is the mean weight of its n-grams, and it is kept if no
+little.  A document's own occurrence is taken off both counts (off t if the document is trusted), or else words that
+no other document has would count for it or against it by its label.  A document's score is the mean weight of its n-grams, and it is kept if no
 shape rule fails and the score reaches ``threshold``.
 
 DataFrame functions only.  The cell table has ``buckets`` rows whatever the input, which is what
@@ -24,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE_CLASS, words_array, written
+from corvane.llm.common import SPACE_CLASS, bind, words_array, written
 
 BUCKETS = 1 << 20
 PRIOR = 40.0
-THRESHOLD = -0.09
+THRESHOLD = -0.075
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Weights are rounded to this part of one, so that sums are exact and reruns agree.
@@ -41,71 +42,89 @@ def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window which the text has twice or more.
 
     The windows' hashes are sorted with their places; windows equal to a neighbour in that
-    order are repeats, and the union of their spans is measured place by place.
+    order are repeats, and the union of their spans is measured place by place.  ``words`` must be
+    a column or a bound variable, as it is looked up at every place.
     """
     n = F.size(words)
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    def covered(s: Column) -> Column:
-        twin = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
-        at = F.sort_array(F.transform(twin, lambda x: x["i"]))
+    def spans(sorted_pairs: Column) -> Column:
+        twin = F.filter(
+            sorted_pairs, lambda x, k: (F.get(sorted_pairs, k - 1)["h"] == x["h"]) | (F.get(sorted_pairs, k + 1)["h"] == x["h"])
+        )
         return F.aggregate(
-            at,
+            F.sort_array(F.transform(twin, lambda x: x["i"])),
             F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
             lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")),
             lambda acc: acc["n"],
         )
 
-    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    return F.when(some, F.get(F.transform(F.array(pairs), covered), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    def measure(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), bind(pairs, spans)).otherwise(F.lit(0))
+
+    return bind(hashes, measure).cast("long")
 
 
-def shape_columns(text: Column, words: Column) -> dict[str, Column]:
-    """The measures of a document's shape."""
+def shape(text: Column) -> Column:
+    """A struct of the measures of a document's shape."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE_CLASS, "") != "")
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": repeat_words(words),
-    }
 
+    def measures(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            repeat_words(words).alias("n_repeat_words"),
+        )
+
+    return bind(words_array(text), measures)
 
-def ngram_cells(words: Column, buckets: int) -> Column:
+
+def ngram_cells(text: Column, buckets: int) -> Column:
     """The cells of a document's words and of its pairs of neighbouring words."""
-    n = F.size(words)
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pair = F.zip_with(
-        F.when(n >= 2, F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<string>")),
-        F.when(n >= 2, F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<string>")),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(one, pair)
 
+    def cells(words: Column) -> Column:
+        n, none = F.size(words), F.array().cast("array<string>")
+        one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+        pair = F.zip_with(
+            F.when(n >= 2, F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(none),
+            F.when(n >= 2, F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0)))).otherwise(none),
+            lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
+        )
+        return F.concat(one, pair)
 
-def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """(cell, weight): of every cell that a document has, from counts over all rows of ``docs``.
+    return bind(words_array(text), cells)
 
-    ``trusted``: doc_id of the rows that make up the target.
-    """
+
+def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``docs`` with ``_q_good``, 1 for rows whose doc_id is in ``trusted``, else 0."""
     ids = trusted.select(F.col("doc_id").alias("_q_trusted")).where("_q_trusted is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_q_trusted"), "left")
+    joined = docs.join(ids, F.col("doc_id") == F.col("_q_trusted"), "left")
+    return joined.withColumn("_q_good", F.col("_q_trusted").isNotNull().cast("int")).drop("_q_trusted")
+
+
+def cell_weights(flagged: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """(cell, weights): of every cell that a document has, from counts over all rows.
+
+    ``weights``: what an occurrence in a document counts, by whether the document is trusted (0, 1).
+    """
     counts = written(
-        flagged.select(F.col("_q_trusted").isNotNull().cast("long").alias("good"), words_array(F.col("text")).alias("words"))
-        .select("good", F.explode(ngram_cells(F.col("words"), buckets)).alias("cell"))
+        flagged.select("_q_good", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
         .groupBy("cell")
-        .agg(F.sum("good").alias("t"), F.count("*").alias("r")),
+        .agg(F.sum("_q_good").alias("t"), F.count("*").alias("r")),
         "cells",
     )
     totals = counts.agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
     scale = F.coalesce(F.try_divide(F.col("all_r"), F.col("all_t")), F.lit(0.0))
-    weight = F.log((F.col("t") * scale + F.lit(prior)) / (F.col("r") + F.lit(prior)))
-    return counts.crossJoin(F.broadcast(totals)).select("cell", F.round(weight * UNIT).cast("long").alias("weight"))
+    rest = F.col("r") - 1 + F.lit(prior)
+    weights = [F.log((F.greatest(F.col("t") - k, F.lit(0)) * scale + F.lit(prior)) / rest) for k in (0, 1)]
+    weights = [F.round(w * UNIT).cast("long") for w in weights]
+    return counts.crossJoin(F.broadcast(totals)).select("cell", weights[0].alias("weight_0"), weights[1].alias("weight_1"))
 
 
 def annotate_quality(
@@ -116,24 +135,23 @@ def annotate_quality(
     Input columns of those names are replaced.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    weights = F.broadcast(cell_weights(docs, trusted, buckets, prior))
     own = [c for c in docs.columns if c.lower() not in made]
     rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_q_row", F.monotonically_increasing_id())
+    flagged = flag_trusted(rows.select("_q_row", "doc_id", "text"), trusted)
+    weights = F.broadcast(cell_weights(flagged, buckets, prior))
     scores = (
-        rows.select("_q_row", words_array(F.col("text")).alias("_q_words"))
-        .select("_q_row", F.explode(ngram_cells(F.col("_q_words"), buckets)).alias("cell"))
+        flagged.select("_q_row", "_q_good", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
         .join(weights, "cell")
         .groupBy("_q_row")
-        .agg(F.sum("weight").alias("_q_sum"), F.count("*").alias("_q_n"))
+        .agg(F.sum(F.when(F.col("_q_good") == 1, F.col("weight_1")).otherwise(F.col("weight_0"))).alias("_q_sum"), F.count("*").alias("_q_n"))
     )
-    shaped = rows.withColumn("_q_words", words_array(F.col("text")))
-    shaped = shaped.withColumns(shape_columns(F.col("text"), F.col("_q_words"))).drop("_q_words")
+    shaped = rows.withColumn("_q_shape", shape(F.col("text"))).select(*rows.columns, "_q_shape.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     score = F.coalesce(F.col("_q_sum") / F.col("_q_n") / F.lit(UNIT), F.lit(0.0))
     return (
         shaped.join(scores, "_q_row", "left")
         .withColumn("base_failed", failed)
         .withColumn("score", score)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("score") >= threshold))
         .drop("_q_row", "_q_sum", "_q_n")
     )

@@ -32,9 +32,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _salt(k: int) -> np.uint64:
+    return U64(int(_GOLD) * k & (2**64 - 1))
+
+
 def join_names(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     """The name of the pair (a, b) in the round ``salt``."""
-    return mix(mix(a + _GOLD * U64(2 * salt + 1)) ^ (b + _GOLD * U64(2 * salt + 2)))
+    return mix(mix(a + _salt(2 * salt + 1)) ^ (b + _salt(2 * salt + 2)))
 
 
 def _best_of_zones(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,7 +106,7 @@ def window_anchors(tokens: np.ndarray, doc: np.ndarray, width: int, rounds: int
         if last:
             done = np.ones(len(alive), bool)
         else:
-            side = (mix(name + _GOLD * U64(r)) & U64(1)).astype(np.int64)
+            side = (mix(name + _salt(r)) & U64(1)).astype(np.int64)
             a2, b2 = a + side[a], b - (1 - side[b - 1])
             done = a2 >= b2
         if done.any():
