@@ -6,7 +6,9 @@ trusted rows for the target.  With target counts t (scaled to the raw total), ra
 and a prior weight a, a cell's weight is log((t + a) / (r + a)): the log-likelihood ratio of
 two multinomials smoothed by the same prior, so that a cell that neither has seen much says
 little.  A document's own occurrence is taken off both counts (off t if the document is trusted), or else words that
-no other document has would count for it or against it by its label.  A document's score is the mean weight of its n-grams, and it is kept if no
+no other document has would count for it or against it by its label.  Raw occurrences are weighted by language
+(or another column, ``strata``), so that the raw corpus has the target's mix of languages and no document loses for
+being written in a language of which few rows are trusted.  A document's score is the mean weight of its n-grams, and it is kept if no
 shape rule fails and the score reaches ``threshold``.
 
 DataFrame functions only.  The cell table has ``buckets`` rows whatever the input, which is what
@@ -15,8 +17,8 @@ they are few, and joined by a shuffle otherwise.
 
 Edge cases: a null text has no words, so every count is 0 and it fails the length rule;
 a document without n-grams scores 0; repeated rows are scored and returned each; a null
-doc_id is never trusted; without trusted rows all scores are 0 or below and only shape rules and the threshold
-decide; an empty table gives an empty result; other columns pass through
+doc_id is never trusted; a null language is one of its own; documents in languages without trusted rows, or without
+their own column, are scored near 0, so that shape rules decide; an empty table gives an empty result; other columns pass through
 ``annotate_quality`` untouched as long as they don't begin with ``_q_``.
 """
 
@@ -34,6 +36,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Weights are rounded to this part of one, so that sums are exact and reruns agree.
 UNIT = 1_000_000
+#: Raw occurrences are weighted in whole parts of this.
+STRATUM_UNIT = 1024
 #: Trusted ids that are broadcast at most (16 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -42,8 +46,8 @@ def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window which the text has twice or more.
 
     The windows' hashes are sorted with their places; windows equal to a neighbour in that
-    order are repeats, and the union of their spans is measured place by place.  ``words`` must be
-    a column or a bound variable, as it is looked up at every place.
+    order are repeats, and the union of their spans is measured place by place.  ``words``: the words, or hashes of
+    them; it must be a column or a bound variable, as it is looked up at every place.
     """
     n = F.size(words)
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
@@ -78,7 +82,7 @@ def shape(text: Column) -> Column:
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            repeat_words(words).alias("n_repeat_words"),
+            bind(F.transform(words, lambda w: F.xxhash64(w)), repeat_words).alias("n_repeat_words"),
         )
 
     return bind(words_array(text), measures)
@@ -87,17 +91,14 @@ def shape(text: Column) -> Column:
 def ngram_cells(text: Column, buckets: int) -> Column:
     """The cells of a document's words and of its pairs of neighbouring words."""
 
-    def cells(words: Column) -> Column:
-        n, none = F.size(words), F.array().cast("array<string>")
-        one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-        pair = F.zip_with(
-            F.when(n >= 2, F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(none),
-            F.when(n >= 2, F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0)))).otherwise(none),
-            lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
-        )
-        return F.concat(one, pair)
+    def cells(hashes: Column) -> Column:
+        one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+        after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
+        # the last word has no word after it
+        pair = F.zip_with(hashes, after, lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
+        return F.concat(one, F.array_compact(pair))
 
-    return bind(words_array(text), cells)
+    return bind(F.transform(words_array(text), lambda w: F.xxhash64(w)), cells)
 
 
 def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -108,27 +109,34 @@ def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return joined.withColumn("_q_good", F.col("_q_trusted").isNotNull().cast("int")).drop("_q_trusted")
 
 
-def cell_weights(flagged: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
-    """(cell, weights): of every cell that a document has, from counts over all rows.
+def weigh_strata(flagged: DataFrame) -> DataFrame:
+    """``flagged`` with ``_q_w``: what a raw occurrence counts, in parts of ``STRATUM_UNIT``, by ``_q_stratum``."""
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    sums = flagged.groupBy("_q_stratum").agg(F.sum(size).alias("r"), F.sum(size * F.col("_q_good")).alias("t"))
+    sums = written(sums, "strata")
+    totals = sums.agg(F.sum("r").alias("all_r"), F.sum("t").alias("all_t"))
+    weight = F.try_divide(F.col("t") * F.col("all_r"), F.col("r") * F.col("all_t"))
+    strata = sums.crossJoin(F.broadcast(totals)).select(
+        F.col("_q_stratum").alias("_q_s"), F.coalesce(F.round(weight * STRATUM_UNIT), F.lit(0)).cast("long").alias("_q_w")
+    )
+    strata = written(strata, "strata")  # a table of known size: broadcast by the session's own threshold
+    return flagged.join(strata, F.col("_q_stratum").eqNullSafe(F.col("_q_s"))).drop("_q_s")
+
 
-    ``weights``: what an occurrence in a document counts, by whether the document is trusted (0, 1).
-    """
+def cell_counts(weighed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(cell, t, r, scale): of every cell that a document has, from counts over all rows."""
     counts = written(
-        flagged.select("_q_good", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
+        weighed.select("_q_good", "_q_w", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
         .groupBy("cell")
-        .agg(F.sum("_q_good").alias("t"), F.count("*").alias("r")),
+        .agg(F.sum("_q_good").alias("t"), F.sum("_q_w").alias("r")),
         "cells",
     )
-    totals = counts.agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
-    scale = F.coalesce(F.try_divide(F.col("all_r"), F.col("all_t")), F.lit(0.0))
-    rest = F.col("r") - 1 + F.lit(prior)
-    weights = [F.log((F.greatest(F.col("t") - k, F.lit(0)) * scale + F.lit(prior)) / rest) for k in (0, 1)]
-    weights = [F.round(w * UNIT).cast("long") for w in weights]
-    return counts.crossJoin(F.broadcast(totals)).select("cell", weights[0].alias("weight_0"), weights[1].alias("weight_1"))
+    totals = counts.agg(F.coalesce(F.try_divide(F.sum("r"), F.sum("t")), F.lit(0.0)).alias("scale"))
+    return counts.crossJoin(F.broadcast(totals))
 
 
 def annotate_quality(
-    docs: DataFrame, trusted: DataFrame, *, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD
+    docs: DataFrame, trusted: DataFrame, *, strata: str | None = "lang", buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD
 ) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
@@ -137,13 +145,19 @@ def annotate_quality(
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     own = [c for c in docs.columns if c.lower() not in made]
     rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_q_row", F.monotonically_increasing_id())
-    flagged = flag_trusted(rows.select("_q_row", "doc_id", "text"), trusted)
-    weights = F.broadcast(cell_weights(flagged, buckets, prior))
+    stratum = F.col(f"`{strata}`").cast("string") if strata else F.lit("")
+    flagged = flag_trusted(rows.select("_q_row", "doc_id", "text", stratum.alias("_q_stratum")), trusted)
+    weighed = weigh_strata(flagged)
+    cells = F.broadcast(cell_counts(weighed, buckets))
+    t = F.greatest(F.col("t") - F.col("_q_good"), F.lit(0)) * F.col("scale")
+    r = F.greatest(F.col("r") - F.col("_q_w"), F.lit(0))
+    # counts of the raw corpus are in parts of STRATUM_UNIT, and so is the scale
+    weight = F.log((t + F.lit(prior * STRATUM_UNIT)) / (r + F.lit(prior * STRATUM_UNIT)))
     scores = (
-        flagged.select("_q_row", "_q_good", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
-        .join(weights, "cell")
+        weighed.select("_q_row", "_q_good", "_q_w", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
+        .join(cells, "cell")
         .groupBy("_q_row")
-        .agg(F.sum(F.when(F.col("_q_good") == 1, F.col("weight_1")).otherwise(F.col("weight_0"))).alias("_q_sum"), F.count("*").alias("_q_n"))
+        .agg(F.sum(F.round(weight * UNIT).cast("long")).alias("_q_sum"), F.count("*").alias("_q_n"))
     )
     shaped = rows.withColumn("_q_shape", shape(F.col("text"))).select(*rows.columns, "_q_shape.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -61,8 +61,8 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    done = quality_rules.annotate_quality(docs.select("doc_id", "text"), labels.where("quality = 1"))
-    return done.drop("text")
+    done = quality_rules.annotate_quality(docs.select("doc_id", "text", "lang"), labels.where("quality = 1"))
+    return done.drop("text", "lang")
 
 
 OP2_SQL = r"""
