@@ -20,3 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def _load() -> None:
+    from corvane.plans import core_queries  # noqa: F401  fills the two tables
+
+
+_load()
