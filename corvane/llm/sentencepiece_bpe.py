@@ -3,11 +3,13 @@
 The encoder keeps a *score-ordered agenda of adjacent symbol pairs*: the pair whose
 joined piece has the best score is merged first, the leftmost of equals, and the
 merge puts the two pairs it creates on the agenda; characters without a piece become
-byte pieces.  As no piece of such a vocabulary holds a word mark after another
-character, a text's segments (word marks and what follows) are encoded independently and
-remembered; where a vocabulary has such a piece, the text is one segment.  Every Arrow batch is
-also encoded by the sentencepiece library: where the ids differ, the library's are
-returned and ``library_agrees`` is false.
+byte pieces.
+
+No merge crosses a place between two characters that no piece holds side by side.  A text is cut at such places
+that are cheap to find (before a word mark, around a line feed, between a letter and certain punctuation marks,
+each only if the vocabulary allows it), and the segments, which recur, are encoded independently and remembered.  In each Arrow batch
+the segments that are new to the process are also encoded by the sentencepiece library: where the ids differ, the
+library's are used and ``library_agrees`` is false for the texts that hold the segment.  Texts are decoded by the library.
 
 Edge cases: a null text counts as empty; an empty text has no ids, and both digests are those of
 the empty string; repeated rows give repeated rows; other columns of the input are left
@@ -46,7 +48,7 @@ class PieceCodec:
             cls._made[model_file] = cls(model_file)
         return cls._made[model_file]
 
-    def __init__(self, model_file: str, memory: int = 400_000) -> None:
+    def __init__(self, model_file: str, memory: int = 800_000) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -58,9 +60,19 @@ class PieceCodec:
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, self.library.get_score(i)
-        whole = any(re.search(f"[^{MARK}]{MARK}", piece) for piece in self.ids)
-        self.segments = re.compile("(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memory, self.known = memory, {}
+        pairs = {(x, y) for piece in self.ids for x, y in zip(piece, piece[1:], strict=False)}
+        lone = [c for c in "\n\t\r" if not any(c in p for p in pairs)]
+        after_letters = [c for c in "!\"#$%&()*+,./:;<=>?@|~" if not any(x.isalpha() and y == c for x, y in pairs)]
+        if any(x != MARK and y == MARK for x, y in pairs):
+            lone = after_letters = []
+            self.segments = re.compile("(?s).+")
+        else:
+            alone, stop = re.escape("".join(lone)), re.escape("".join(after_letters))
+            word = f"{MARK}*[^\\W\\d_]+(?=[{stop}])|" if stop else ""
+            self.segments = re.compile(f"{word}{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
+        self.lone = lone
+        self.cuts = "\n" in lone
+        self.memory, self.words, self.known, self.pieces, self.differ = memory, {}, {}, {}, set()
 
     def merge(self, segment: str) -> list[int]:
         """The ids of one segment by the agenda."""
@@ -97,19 +109,53 @@ class PieceCodec:
                 out.append(self.library.unk_id())
         return out
 
+    def learn(self, segments: list[str]) -> list[tuple[list[int], str]]:
+        """Encodes new segments, and checks them against the library."""
+        out, pieces = [], self.pieces
+        if len(pieces) > self.memory // 2:
+            pieces.clear()
+        # a text begins with a word mark; a segment that has none is encoded after a lone character
+        lead = self.lone[0] if self.lone else ""
+        marked = [s[0] == MARK for s in segments]
+        plain = [s[1:].replace(MARK, " ") if m else lead + s for s, m in zip(segments, marked, strict=True)]
+        skip = len(self.library.encode(lead)) if lead else 0
+        for s, exact, m in zip(segments, self.library.encode(plain, num_threads=1), marked, strict=True):
+            ids: list[int] = []
+            for part in self.segments.findall(s):
+                if part not in pieces:
+                    pieces[part] = self.merge(part)
+                ids += pieces[part]
+            exact = exact if m else exact[skip:]
+            if s.strip(MARK) and (m or lead) and ids != exact:
+                self.differ.add(s)
+                ids = exact
+            out.append((ids, ",".join(map(str, ids))))
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+        """Of each text: the ids, the same as decimals joined by commas, whether the library agrees."""
+        out = []
+        for text in texts:
+            single = text.replace("\n", " \n") if self.cuts else ""
+            if single and "  " not in single and MARK not in text and single[0] != " " and single[-1] != " ":
+                found, known = single.split(" "), self.words  # words, each with a mark before it but after a line feed
+            else:
+                found, known = self.segments.findall(MARK + text.replace(" ", MARK)) if text else [], self.known
+            try:
+                parts = [known[s] for s in found]
+            except KeyError:
+                if len(known) > self.memory:
+                    known.clear()
+                new = [s for s in dict.fromkeys(found) if s not in known]
+                as_segments = [s if s[0] == "\n" else MARK + s for s in new] if known is self.words else new
+                known.update(zip(new, self.learn(as_segments), strict=True))
+                parts = [known[s] for s in found]
+            agrees = not self.differ or self.differ.isdisjoint(found) and self.differ.isdisjoint([MARK + s for s in found])
+            out.append((list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts]), agrees))
+        return out
+
     def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the same as decimals joined by commas."""
-        if not text:
-            return [], ""
-        known, found = self.known, self.segments.findall(MARK + text.replace(" ", MARK))
-        for s in found:
-            if s not in known:
-                ids = self.merge(s)
-                known[s] = (ids, ",".join(map(str, ids)))
-        parts = [known[s] for s in found]
-        if len(known) > self.memory:
-            known.clear()
-        return list(chain.from_iterable(p[0] for p in parts)), ",".join([p[1] for p in parts])
+        return self.encode_all([text])[0][:2]
 
 
 def encode_decode(docs: DataFrame, model_file: str, *, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -125,13 +171,9 @@ def encode_decode(docs: DataFrame, model_file: str, *, key: str = "doc_id", keep
         codec = PieceCodec.of(model_file)
         for batch in text_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            exact = codec.library.encode(texts, num_threads=1)
             n, ids_sha, text_sha, agrees, all_ids, all_text = [], [], [], [], [], []
-            for text, right in zip(texts, exact, strict=True):
-                ids, joined = codec.encode(text)
-                agrees.append(ids == right)
-                if ids != right:
-                    ids, joined = right, ",".join(map(str, right))
+            for ids, joined, same in codec.encode_all(texts):
+                agrees.append(same)
                 decoded = codec.library.decode(ids)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
