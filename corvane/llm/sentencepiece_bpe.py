@@ -19,10 +19,10 @@ out; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,13 +53,13 @@ class PieceCodec:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = self.library.vocab_size()
-        self.ids, self.score, self.bytes = {}, {}, {}
+        self.ids, self.cost, self.bytes = {}, {}, {}
         for i in range(size):
             piece = self.library.id_to_piece(i)
             if self.library.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i)):
-                self.ids[piece], self.score[piece] = i, self.library.get_score(i)
+                self.ids[piece], self.cost[piece] = i, -self.library.get_score(i)
         pairs = {(x, y) for piece in self.ids for x, y in zip(piece, piece[1:], strict=False)}
         lone = [c for c in "\n\t\r" if not any(c in p for p in pairs)]
         after_letters = [c for c in "!\"#$%&()*+,./:;<=>?@|~" if not any(x.isalpha() and y == c for x, y in pairs)]
@@ -76,29 +76,28 @@ class PieceCodec:
 
     def merge(self, segment: str) -> list[int]:
         """The ids of one segment by the agenda."""
-        symbols: list[str] = list(segment)
+        symbols, cost = list(segment), self.cost
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        score, agenda = self.score, []
-
-        def offer(i: int, j: int) -> None:
-            joined = symbols[i] + symbols[j]
-            if joined in score:
-                heapq.heappush(agenda, (-score[joined], i, j, joined))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while agenda:
-            _, i, j, joined = heapq.heappop(agenda)
-            if not symbols[i] or not symbols[j] or symbols[i] + symbols[j] != joined or after[i] != j:
-                continue
-            symbols[i], symbols[j] = joined, ""
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                offer(i, k)
-            if before[i] >= 0:
-                offer(before[i], i)
+        agenda = [(c, i, i + 1, 2) for i in range(n - 1) if (c := cost.get(segment[i : i + 2])) is not None]
+        if agenda:
+            heapify(agenda)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            while agenda:
+                _, i, j, size = heappop(agenda)
+                left, right = symbols[i], symbols[j]
+                # an entry is out of date if either side has since been merged or has grown
+                if not left or not right or len(left) + len(right) != size:
+                    continue
+                left += right
+                symbols[i], symbols[j] = left, ""
+                after[i] = k = after[j]
+                if k < n:
+                    before[k] = i
+                    if (c := cost.get(left + symbols[k])) is not None:
+                        heappush(agenda, (c, i, k, size + len(symbols[k])))
+                k = before[i]
+                if k >= 0 and (c := cost.get(symbols[k] + left)) is not None:
+                    heappush(agenda, (c, k, i, size + len(symbols[k])))
         out: list[int] = []
         for s in symbols:
             if s in self.ids:
@@ -109,8 +108,8 @@ class PieceCodec:
                 out.append(self.library.unk_id())
         return out
 
-    def learn(self, segments: list[str]) -> list[tuple[list[int], str]]:
-        """Encodes new segments, and checks them against the library."""
+    def learn(self, segments: list[str]) -> list[tuple[bytes, str]]:
+        """Encodes new segments, as packed ids and as text, and checks them against the library."""
         out, pieces = [], self.pieces
         if len(pieces) > self.memory // 2:
             pieces.clear()
@@ -123,13 +122,14 @@ class PieceCodec:
             ids: list[int] = []
             for part in self.segments.findall(s):
                 if part not in pieces:
-                    pieces[part] = self.merge(part)
+                    pieces[part] = tuple(self.merge(part))
                 ids += pieces[part]
             exact = exact if m else exact[skip:]
             if s.strip(MARK) and (m or lead) and ids != exact:
                 self.differ.add(s)
                 ids = exact
-            out.append((ids, ",".join(map(str, ids))))
+            # packed ids are nothing that the garbage collector has to follow
+            out.append((array("I", ids).tobytes(), ",".join(map(str, ids))))
         return out
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
@@ -151,7 +151,8 @@ class PieceCodec:
                 known.update(zip(new, self.learn(as_segments), strict=True))
                 parts = [known[s] for s in found]
             agrees = not self.differ or self.differ.isdisjoint(found) and self.differ.isdisjoint([MARK + s for s in found])
-            out.append((list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts]), agrees))
+            ids = array("I", b"".join([p[0] for p in parts])).tolist()
+            out.append((ids, ",".join([p[1] for p in parts]), agrees))
         return out
 
     def encode(self, text: str) -> tuple[list[int], str]:
