@@ -88,17 +88,20 @@ def shape(text: Column) -> Column:
     return bind(words_array(text), measures)
 
 
-def ngram_cells(text: Column, buckets: int) -> Column:
-    """The cells of a document's words and of its pairs of neighbouring words."""
+def ngram_hashes(text: Column) -> Column:
+    """Hashes of a document's words and of its pairs of neighbouring words."""
 
-    def cells(hashes: Column) -> Column:
-        one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-        after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
-        # the last word has no word after it
-        pair = F.zip_with(hashes, after, lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
-        return F.concat(one, F.array_compact(pair))
+    def both(hashes: Column) -> Column:
+        pairs = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
+        return F.concat(hashes, F.slice(pairs, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))  # no word follows the last one
 
-    return bind(F.transform(words_array(text), lambda w: F.xxhash64(w)), cells)
+    return bind(F.transform(words_array(text), lambda w: F.xxhash64(w)), both)
+
+
+def ngram_cells(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
+    """(keep, cell): one row per n-gram of each row."""
+    grams = rows.select(*keep, F.explode(ngram_hashes(F.col("text"))).alias("_q_gram"))
+    return grams.select(*keep, F.pmod("_q_gram", F.lit(buckets)).cast("int").alias("cell"))
 
 
 def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def weigh_strata(flagged: DataFrame) -> DataFrame:
 def cell_counts(weighed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(cell, t, r, scale): of every cell that a document has, from counts over all rows."""
     counts = written(
-        weighed.select("_q_good", "_q_w", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
+        ngram_cells(weighed, ["_q_good", "_q_w"], buckets)
         .groupBy("cell")
         .agg(F.sum("_q_good").alias("t"), F.sum("_q_w").alias("r")),
         "cells",
@@ -154,10 +157,10 @@ def annotate_quality(
     # counts of the raw corpus are in parts of STRATUM_UNIT, and so is the scale
     weight = F.log((t + F.lit(prior * STRATUM_UNIT)) / (r + F.lit(prior * STRATUM_UNIT)))
     scores = (
-        weighed.select("_q_row", "_q_good", "_q_w", F.explode(ngram_cells(F.col("text"), buckets)).alias("cell"))
+        ngram_cells(weighed, ["_q_row", "_q_good", "_q_w"], buckets)
         .join(cells, "cell")
         .groupBy("_q_row")
-        .agg(F.sum(F.round(weight * UNIT).cast("long")).alias("_q_sum"), F.count("*").alias("_q_n"))
+        .agg(F.sum(F.floor(weight * UNIT + 0.5)).alias("_q_sum"), F.count("*").alias("_q_n"))
     )
     shaped = rows.withColumn("_q_shape", shape(F.col("text"))).select(*rows.columns, "_q_shape.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
