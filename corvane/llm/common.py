@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: space and the five controls from tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
+#: The same characters themselves.
+SPACES = " \t\n\x0b\x0c\r"
 #: A pattern for one white-space character.
 SPACE_CLASS = rf"[{SPACE}]"
 #: A pattern for one word.

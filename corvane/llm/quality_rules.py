@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE_CLASS, bind, words_array, written
+from corvane.llm.common import SPACES, bind, words_array, written
 
 BUCKETS = 1 << 20
 PRIOR = 40.0
@@ -74,7 +74,7 @@ def repeat_words(words: Column) -> Column:
 def shape(text: Column) -> Column:
     """A struct of the measures of a document's shape."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE_CLASS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
     def measures(words: Column) -> Column:
         return F.struct(
