@@ -53,39 +53,36 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))) for a, b in zip(q, c, strict=True)], np.int64)
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, parts: tuple[int, ...] = PARTS, chunk: int = 512):
+def _scores(q: np.ndarray, c: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of the pairs in ``live``: a matrix product where they are many and it is exact, else pair by pair."""
+    i, j = np.nonzero(live)
+    top = np.abs(q).max(initial=0.0) * np.abs(c).max(initial=0.0) * max(1, q.shape[1])
+    if top < 2**53 and len(i) > 0.02 * live.size:
+        return i, j, (q @ c.T)[i, j].astype(np.int64)
+    return i, j, np.concatenate([_exact(q[i[s : s + 50_000]], c[j[s : s + 50_000]]) for s in range(0, len(i), 50_000)] or [np.empty(0, np.int64)])
+
+
+def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, parts: tuple[int, ...] = PARTS, chunk: int = 1024):
     """(query, candidate, score) arrays of each query's k best candidates within one block."""
-    stats_q, stats_c = [_segments(q, p) for p in parts], [_segments(c, p) for p in parts]
+    stats_q, stats_c = [np.hstack(_segments(q, p)) for p in parts], [np.hstack(_segments(c, p)) for p in parts]
     slack = 1e-9 * (np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0)) + 1e-6
-    best_s = np.full((len(qid), k), -(2**63), np.int64)
-    best_i = np.full((len(qid), k), -1, np.int64)
-    found = np.zeros(len(qid), np.int64)
+    rows = score = found = np.empty(0, np.int64)  # the best so far: query's place, score, candidate
+    bar = np.full(len(qid), -np.inf)
     for a in range(0, len(cid), chunk):
         part = slice(a, a + chunk)
-        bar = np.where(found >= k, best_s[:, -1].astype(float), -np.inf)
         live = qid[:, None] != cid[None, part]
-        (mq, dq), (mc, dc) = stats_q[0], stats_c[0]
-        live &= mq @ mc[part].T + dq @ dc[part].T + slack >= bar[:, None]
-        i, j = np.nonzero(live)
-        j = j + a
-        for (mq, dq), (mc, dc) in zip(stats_q[1:], stats_c[1:], strict=True):
-            step = 200_000
-            keep = [
-                np.einsum("ij,ij->i", mq[i[s : s + step]], mc[j[s : s + step]]) + np.einsum("ij,ij->i", dq[i[s : s + step]], dc[j[s : s + step]]) + slack >= bar[i[s : s + step]]
-                for s in range(0, len(i), step)
-            ]
-            keep = np.concatenate(keep) if keep else np.empty(0, bool)
-            i, j = i[keep], j[keep]
-        score = np.concatenate([_exact(q[i[s : s + 50_000]], c[j[s : s + 50_000]]) for s in range(0, len(i), 50_000)] or [np.empty(0, np.int64)])
-        for x in np.unique(i):
-            lo, hi = np.searchsorted(i, [x, x + 1])
-            n = min(int(found[x]), k)
-            s, d = np.concatenate([best_s[x, :n], score[lo:hi]]), np.concatenate([best_i[x, :n], cid[j[lo:hi]]])
-            top = np.lexsort((d, -s if s.min(initial=0) > -(2**63) else -s.astype(float)))[:k]
-            found[x] = len(top)
-            best_s[x, : len(top)], best_i[x, : len(top)] = s[top], d[top]
-    take = np.arange(k)[None, :] < found[:, None]
-    return np.repeat(qid, found), best_i[take], best_s[take]
+        if np.isfinite(bar).any():
+            for of_q, of_c in zip(stats_q, stats_c, strict=True):
+                live &= of_q @ of_c[part].T + slack >= bar[:, None]
+        i, j, new = _scores(q, c[part], live)
+        rows, score, found = np.concatenate([rows, i]), np.concatenate([score, new]), np.concatenate([found, cid[part][j]])
+        # ~score orders from the highest score without leaving 64 bits
+        order = np.lexsort((found, ~score, rows))
+        rows, score, found = rows[order], score[order], found[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        bar[rows[place == k - 1]] = score[place == k - 1]
+        rows, score, found = rows[place < k], score[place < k], found[place < k]
+    return qid[rows], found, score
 
 
 def _packed(rows: DataFrame, per_block: int, total: int) -> DataFrame:
