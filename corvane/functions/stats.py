@@ -90,15 +90,15 @@ def calibration_error(df: DataFrame, label: str, score: str, keys: list[str], bi
 
 
 def ks_two_sample(df: DataFrame, flag: str, value: str, keys: list[str]) -> DataFrame:
-    """(keys, n_a, n_b, d, p): rows where ``flag`` is true against the others, asymptotic p of 100 terms."""
+    """(keys, n_a, n_b, d, p): rows where ``flag`` is true against the others, asymptotic p of 100 terms; null if either side is empty."""
     cells = df.groupBy(*keys, value).agg(F.count_if(F.col(flag)).alias("a"), F.count_if(~F.col(flag)).alias("b"))
     upto, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
     gap = F.abs(rate(F.sum("a").over(upto), F.sum("a").over(whole)) - rate(F.sum("b").over(upto), F.sum("b").over(whole)))
     g = cells.withColumn("_gap", gap).groupBy(*keys).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.max("_gap").alias("d"))
     en = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")).cast("double"))
-    lam = (en + 0.12 + 0.11 / en) * F.col("d")
+    lam = (en + 0.12 + F.try_divide(F.lit(0.11), en)) * F.col("d")
     terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam))
-    return g.withColumn("p", F.when(F.col("d") <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))))
+    return g.withColumn("p", F.when(F.col("d") <= 0, F.lit(1.0)).when(F.col("d").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

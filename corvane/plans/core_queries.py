@@ -653,8 +653,8 @@ def ece(spark, sf_dir):
 
 
 KS = """, c AS (SELECT lang, s, count(*) FILTER (WHERE toxic) AS a, count(*) FILTER (WHERE NOT toxic) AS b FROM p GROUP BY ALL), u AS (SELECT *, abs(sum(a) OVER w::DOUBLE / nullif(sum(a) OVER v, 0) - sum(b) OVER w::DOUBLE / nullif(sum(b) OVER v, 0)) AS gap FROM c WINDOW w AS (PARTITION BY lang ORDER BY s), v AS (PARTITION BY lang)),
-g AS (SELECT lang, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, max(gap) AS d FROM u GROUP BY ALL), e AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) AS en FROM g), l AS (SELECT *, (en + 0.12 + 0.11 / en) * d AS lam FROM e)
-SELECT lang, n_a, n_b, round(d, 6) AS d, round(CASE WHEN d <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * lam * lam))))) END, 6) AS p FROM l"""
+g AS (SELECT lang, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, max(gap) AS d FROM u GROUP BY ALL), e AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) AS en FROM g), l AS (SELECT *, (en + 0.12 + 0.11 / nullif(en, 0)) * d AS lam FROM e)
+SELECT lang, n_a, n_b, round(d, 6) AS d, round(CASE WHEN d IS NULL THEN NULL WHEN d <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * lam * lam))))) END, 6) AS p FROM l"""
 
 
 @query(PRED + KS)
