@@ -112,18 +112,17 @@ def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return joined.withColumn("_q_good", F.col("_q_trusted").isNotNull().cast("int")).drop("_q_trusted")
 
 
-def weigh_strata(flagged: DataFrame) -> DataFrame:
-    """``flagged`` with ``_q_w``: what a raw occurrence counts, in parts of ``STRATUM_UNIT``, by ``_q_stratum``."""
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    sums = flagged.groupBy("_q_stratum").agg(F.sum(size).alias("r"), F.sum(size * F.col("_q_good")).alias("t"))
-    sums = written(sums, "strata")
+def stratum_weights(shaped: DataFrame) -> DataFrame:
+    """(_q_s, _q_w): what a raw occurrence of each stratum counts, in parts of ``STRATUM_UNIT``."""
+    size = F.col("n_words")
+    sums = written(shaped.groupBy("_q_stratum").agg(F.sum(size).alias("r"), F.sum(size * F.col("_q_good")).alias("t")), "strata")
     totals = sums.agg(F.sum("r").alias("all_r"), F.sum("t").alias("all_t"))
-    weight = F.try_divide(F.col("t") * F.col("all_r"), F.col("r") * F.col("all_t"))
+    # as doubles: products of counts of words leave 64 bits
+    weight = F.try_divide(F.col("t").cast("double") * F.col("all_r"), F.col("r").cast("double") * F.col("all_t"))
     strata = sums.crossJoin(F.broadcast(totals)).select(
-        F.col("_q_stratum").alias("_q_s"), F.coalesce(F.round(weight * STRATUM_UNIT), F.lit(0)).cast("long").alias("_q_w")
+        F.col("_q_stratum").alias("_q_s"), F.coalesce(F.floor(weight * STRATUM_UNIT + 0.5), F.lit(0)).cast("long").alias("_q_w")
     )
-    strata = written(strata, "strata")  # a table of known size: broadcast by the session's own threshold
-    return flagged.join(strata, F.col("_q_stratum").eqNullSafe(F.col("_q_s"))).drop("_q_s")
+    return written(strata, "strata")  # a table of known size: broadcast by the session's own threshold
 
 
 def cell_counts(weighed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -147,28 +146,34 @@ def annotate_quality(
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     own = [c for c in docs.columns if c.lower() not in made]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_q_row", F.monotonically_increasing_id())
     stratum = F.col(f"`{strata}`").cast("string") if strata else F.lit("")
-    flagged = flag_trusted(rows.select("_q_row", "doc_id", "text", stratum.alias("_q_stratum")), trusted)
-    weighed = weigh_strata(flagged)
+    # a row is known by its text and by its id and stratum: rows alike in these have the same verdict
+    key = {"_q_a": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "_q_b": F.xxhash64(F.col("doc_id"), stratum)}
+    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumns(key)
+    flagged = flag_trusted(rows.select("_q_a", "_q_b", "doc_id", "text", stratum.alias("_q_stratum")), trusted)
+    shaped = flagged.withColumn("_q_shape", shape(F.col("text"))).select("_q_a", "_q_b", "_q_good", "_q_stratum", "_q_shape.*")
+    shaped = written(shaped, "shape")
+    weighed = flagged.join(stratum_weights(shaped), F.col("_q_stratum").eqNullSafe(F.col("_q_s"))).drop("_q_s")
     cells = F.broadcast(cell_counts(weighed, buckets))
     t = F.greatest(F.col("t") - F.col("_q_good"), F.lit(0)) * F.col("scale")
     r = F.greatest(F.col("r") - F.col("_q_w"), F.lit(0))
     # counts of the raw corpus are in parts of STRATUM_UNIT, and so is the scale
     weight = F.log((t + F.lit(prior * STRATUM_UNIT)) / (r + F.lit(prior * STRATUM_UNIT)))
     scores = (
-        ngram_cells(weighed, ["_q_row", "_q_good", "_q_w"], buckets)
+        ngram_cells(weighed, ["_q_a", "_q_b", "_q_good", "_q_w"], buckets)
         .join(cells, "cell")
-        .groupBy("_q_row")
+        .groupBy("_q_a", "_q_b")
         .agg(F.sum(F.floor(weight * UNIT + 0.5)).alias("_q_sum"), F.count("*").alias("_q_n"))
     )
-    shaped = rows.withColumn("_q_shape", shape(F.col("text"))).select(*rows.columns, "_q_shape.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     score = F.coalesce(F.col("_q_sum") / F.col("_q_n") / F.lit(UNIT), F.lit(0.0))
-    return (
-        shaped.join(scores, "_q_row", "left")
+    found = (
+        shaped.drop("_q_good", "_q_stratum")
+        .dropDuplicates(["_q_a", "_q_b"])
+        .join(scores, ["_q_a", "_q_b"], "left")
         .withColumn("base_failed", failed)
         .withColumn("score", score)
         .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("score") >= threshold))
-        .drop("_q_row", "_q_sum", "_q_n")
+        .drop("_q_sum", "_q_n")
     )
+    return rows.join(found, ["_q_a", "_q_b"]).drop("_q_a", "_q_b")
