@@ -1,27 +1,52 @@
-"""Question-cluster bootstrap on a table of weights."""
+"""Question-cluster bootstrap on a table of draws."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.stats import unit_hash
 
 
-def weights(questions: DataFrame, reps: int, seed: int) -> DataFrame:
-    """(rep, dataset, qno, w): per replicate and dataset as many draws as it has questions, by hash.
+#: Replicates of the reference.
+N_BOOT = 10_000
+#: Draws that one row stands for until they are made.
+DRAW_BLOCK = 4096
 
-    ``questions``: (dataset, qno), qno from 0 to the dataset's number of questions.
+
+def numbered(questions: DataFrame) -> DataFrame:
+    """``questions`` (dataset, original_index, ...) with qno, each one's place in its dataset from 0.
+
+    A dataset's questions may be many, so places come from counts of cells of indices plus places within a cell.
+    """
+    q = questions.withColumn("cell", F.floor(F.col("original_index") / 1024))
+    upto = Window.partitionBy("dataset").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = q.groupBy("dataset", "cell").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("dataset", "cell").orderBy("original_index")) - 1
+    q = q.withColumn("place", place).join(cells.drop("c"), ["dataset", "cell"])
+    return q.withColumn("qno", (F.col("before") + F.col("place")).cast("long")).drop("cell", "place", "before")
+
+
+def draws(questions: DataFrame, reps: int = N_BOOT, seed: int = 42) -> DataFrame:
+    """(rep, dataset, qno): per replicate and dataset as many draws as it has questions, by hash.
+
+    ``questions``: (dataset, qno), qno from 0 to the dataset's number of questions.  Blocks of draws are dealt
+    over all tasks before they are made: by number, as few bytes would else be put together into one task.
     """
+    spark = questions.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     sizes = questions.groupBy("dataset").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    blocks = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    blocks = blocks.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAW_BLOCK).cast("long"))))
+    made = blocks.repartition(tasks, "rep", "dataset", "first")
+    made = made.withColumn("draw", F.explode(F.sequence("first", F.least(F.col("first") + DRAW_BLOCK, "n") - 1)))
     pick = F.floor(unit_hash(F.lit(str(seed)), F.col("dataset"), F.col("rep"), F.col("draw")) * F.col("n"))
-    return draws.select("rep", "dataset", pick.alias("qno")).groupBy("rep", "dataset", "qno").agg(F.count("*").alias("w"))
+    return made.select("rep", "dataset", pick.alias("qno"))
 
 
-def ratio_replicates(per_question: DataFrame, w: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """(keys, rep, value): weighted numerators over weighted denominators, null where that is 0."""
-    g = per_question.join(w, ["dataset", "qno"]).groupBy(*keys, "rep").agg(F.sum(F.col("w") * F.col("num")).alias("a"), F.sum(F.col("w") * F.col("den")).alias("b"))
+def ratio_replicates(per_question: DataFrame, drawn: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, rep, value): numerators over denominators of the questions drawn, null where that is 0."""
+    g = drawn.join(per_question, ["dataset", "qno"]).groupBy(*keys, "rep").agg(F.sum("num").alias("a"), F.sum("den").alias("b"))
     return g.select(*keys, "rep", F.try_divide(F.col("a").cast("double"), F.col("b")).alias("value"))
 
 

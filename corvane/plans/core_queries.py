@@ -682,25 +682,55 @@ w AS (SELECT rep, dataset, CAST(floor(CAST('0x' || substr(sha256(concat_ws(':',
 v AS (SELECT rep, sum(w * num)::DOUBLE / nullif(sum(w * den), 0) AS value, sum(w * num)::DOUBLE / nullif(sum(w * den), 0) - 0.33 AS diff FROM pq JOIN w USING (dataset, qno) GROUP BY rep)"""
 
 
-def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+BOOT_ALL = """, pq0 AS (SELECT dataset, original_index, count(*) FILTER (WHERE to_hint AND judge_label = 0) AS num, count(*) FILTER (WHERE to_hint AND judge_label IN (0, 1)) AS den FROM r GROUP BY ALL),
+pq AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY original_index) - 1 AS qno FROM pq0), sz AS (SELECT dataset, count(*) AS n FROM pq GROUP BY ALL),
+dr AS (SELECT dataset, n, rep, unnest(range(0, n)) AS draw FROM sz CROSS JOIN (SELECT unnest(range(0, 10000)) AS rep)),
+w AS (SELECT rep, dataset, CAST(floor(CAST('0x' || substr(sha256(concat_ws(':', '42', dataset, rep, draw)), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 * n) AS BIGINT) AS qno FROM dr),
+v AS (SELECT rep, sum(num)::DOUBLE / nullif(sum(den), 0) AS value, sum(num)::DOUBLE / nullif(sum(den), 0) - 0.33 AS diff FROM w JOIN pq USING (dataset, qno) GROUP BY rep)"""
+
 
-    r = base(spark, sf_dir).where("original_index <= 400")
+def question_counts(r: DataFrame) -> DataFrame:
     y = F.col("judge_label")
     q = r.groupBy("dataset", "original_index").agg(F.count_if(F.col("to_hint") & (y == 0)).alias("num"), F.count_if(F.col("to_hint") & y.isin(0, 1)).alias("den"))
-    q = q.withColumn("qno", (F.row_number().over(Window.partitionBy("dataset").orderBy("original_index")) - 1).cast("long"))
-    return bootstrap.ratio_replicates(q, bootstrap.weights(q.select("dataset", "qno"), 40, 42))
+    return bootstrap.numbered(q)
+
+
+def replicates(r: DataFrame, reps: int = bootstrap.N_BOOT) -> DataFrame:
+    q = question_counts(r)
+    return bootstrap.ratio_replicates(q, bootstrap.draws(q.select("dataset", "qno"), reps, 42))
+
+
+def first_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the questions and replicates that BOOT names; BOOT_ALL has all."""
+    return replicates(base(spark, sf_dir).where("original_index <= 400"), 40)
+
+
+def boot_interval(v: DataFrame) -> DataFrame:
+    return rounded(bootstrap.interval(v), "ci_low", "ci_high")
+
+
+def boot_p_value(v: DataFrame) -> DataFrame:
+    return rounded(bootstrap.p_value(v.where("value is not null").withColumn("value", F.col("value") - 0.33)), "p")
 
 
 @query(WITH_R + BOOT + " SELECT count(value) AS n_defined, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high FROM v")
 def bootstrap_ratio(spark, sf_dir):
-    return rounded(bootstrap.interval(replicates(spark, sf_dir)), "ci_low", "ci_high")
+    return boot_interval(first_replicates(spark, sf_dir))
 
 
 @query(WITH_R + BOOT + " SELECT round(least(1.0, 2 * least(avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN diff >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p FROM v WHERE value IS NOT NULL")
 def bootstrap_diff_pvalue(spark, sf_dir):
-    v = replicates(spark, sf_dir).where("value is not null").withColumn("value", F.col("value") - 0.33)
-    return rounded(bootstrap.p_value(v), "p")
+    return boot_p_value(first_replicates(spark, sf_dir))
+
+
+@query(WITH_R + BOOT_ALL + " SELECT count(value) AS n_defined, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high FROM v")
+def bootstrap_ratio_all(spark, sf_dir):
+    return boot_interval(replicates(base(spark, sf_dir)))
+
+
+@query(WITH_R + BOOT_ALL + " SELECT round(least(1.0, 2 * least(avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN diff >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p FROM v WHERE value IS NOT NULL")
+def bootstrap_diff_pvalue_all(spark, sf_dir):
+    return boot_p_value(replicates(base(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- text
@@ -763,6 +793,12 @@ def option_letters(spark, sf_dir):
     return b.select("item_id", F.substring(made, 2, 10**6).alias("options"))
 
 
+@query("SELECT item_id, 'A) ' || text || chr(10) || 'B) two' AS options FROM benchmark")
+def option_letters_all(spark, sf_dir):
+    made = text.format_question(F.lit(""), F.array(F.col("text"), F.lit("two")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.substr(made, F.lit(2)).alias("options"))
+
+
 @query(
     """WITH x AS (SELECT o_orderkey, unnest(['w', 'x', 'y', 'z']) AS c, unnest(range(0, 4)) AS i FROM orders) SELECT o_orderkey, string_agg(c, '' ORDER BY sha256(concat_ws(':', '3', o_orderkey, i)), c) AS shuffled FROM x GROUP BY ALL"""
 )

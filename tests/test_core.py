@@ -5,8 +5,8 @@ import math
 import duckdb
 import pytest
 from corvane.functions import stats, text
-from corvane.operators import manifest, predicates, resample, validation
-from corvane.plans import registry
+from corvane.operators import bootstrap, manifest, predicates, resample, validation
+from corvane.plans import core_queries, registry
 from corvane.plans.adapters import rollouts, table
 from corvane.sources import tables
 from corvane.streaming import events as streaming
@@ -109,3 +109,17 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not any(k.startswith('op') and k[2].isdigit() for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_bootstrap_reads_all_questions_in_many_tasks(spark, sf_dir):
+    r = manifest.with_manifest_columns(rollouts(spark, sf_dir))
+    q = core_queries.question_counts(r)
+    assert q.where("original_index > 400").count() > 0
+    assert q.count() == r.select("dataset", "original_index").distinct().count()
+    got = {(x["dataset"], x["original_index"]): x["qno"] for x in q.collect()}
+    for d in {k for k, _ in got}:
+        assert [got[d, i] for k, i in sorted(got) if k == d] == list(range(sum(k == d for k, _ in got)))
+    drawn = bootstrap.draws(q.select("dataset", "qno"), 7)
+    assert drawn.count() == 7 * q.count()
+    assert drawn.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    assert bootstrap.N_BOOT == 10_000 and core_queries.replicates(r.where("original_index <= 4")).count() == 10_000
