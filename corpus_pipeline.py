@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, pii, quality_rules, sentencepiece_bpe, simhash
+from corvane.llm import mixing, near_copies, pii, quality_rules, sentencepiece_bpe, simhash
 from corvane.llm.common import table, written
 from corvane.llm.queries import piece_model
 
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each class of near-duplicates: fingerprints within 3 bits, then five-word shingles alike by 0.8."""
+    return near_copies.keep_one(written(simhash.keep_one(docs.select(*COLUMNS)), "distinct"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
