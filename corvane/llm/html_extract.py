@@ -5,8 +5,9 @@ Pass one classifies each block by its length, its share of stop words and its sh
 links.  Pass two gives a short or undecided block the label of its nearest decided neighbours.
 What the page itself marks as no article is not classified at all: navigation, header, footer, sidebar and
 form elements, and elements whose class, id or role names an advert, a notice, a comment
-section and so on.  Where a page has an article or main element, only blocks inside it are candidates, and
-boilerplate needs evidence; elsewhere main text needs it.
+section and so on (whole names; never the page, its body or its main element).  Where an article or main element holds
+most of the text, only blocks inside it are candidates, and boilerplate needs evidence; elsewhere main text needs
+it: stop words, or where a page has hardly any of those known, length and few links.
 
 Edge cases: a null or empty page has the text ''; unclosed and misnested tags, comments and pages
 cut off anywhere are read as far as they go; repeated rows are returned each; an empty table
@@ -43,12 +44,18 @@ RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "template", "ifr
 #: Elements that a page uses for everything but its article.
 OUTSIDE_TAGS = frozenset("nav header footer aside form button select dialog menu label fieldset".split())
 OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|advertisement|adsense|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|header|footer|"
+    r"(?:^|\s)(?:ad|ads|advert\w*|advertisement|adsense|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|header|footer|"
     r"sidebar\w*|side|aside|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|comments?|commentlist|disqus|respond|reply|replies|"
     r"cookies?\w*|consent\w*|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|search\w*|pagination|pager|"
-    r"copyright|legal|disclaimer|toolbar|hidden|skip|tags?|meta|byline|toc|outbrain|taboola)(?:$|[\s_-])",
+    r"copyright|legal|disclaimer|toolbar|hidden|skip|tags?|meta|byline|toc|outbrain|taboola|"
+    r"(?:site|page|main|top|global)[_-](?:nav|navigation|header|footer|menu|sidebar)|"
+    r"(?:ads?|banner|nav|navbar|cookies?|consent|sidebar|share|social|comments?|related|newsletter|widget|footer|header|menu|popup|modal)"
+    r"[_-](?:box|bar|area|wrapper|container|list|links?|block|section|slot|unit|banner|notice|buttons?|icons?|inner|form|items?|posts?|articles?|stories))(?:$|\s)",
     re.IGNORECASE,
 )
+#: Elements that no class or id shuts out, and the names of an article that is a remark on another one.
+CONTENT_TAGS = frozenset("html body main article".split())
+REMARK_NAMES = re.compile(r"(?:^|\s)(?:comments?|reply|replies|teaser|related|promo|ad|ads|advert|sponsored)(?:$|\s)", re.IGNORECASE)
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that a new tag of the given kind closes, if they are innermost.
@@ -63,14 +70,16 @@ STOP_LOW, STOP_HIGH = 0.10, 0.16
 LINKS_HIGH = 0.33
 
 
-def _outside(tag: str, attributes: str) -> bool:
+def _outside(tag: str, attributes: str, remarks: bool) -> bool:
     if tag in OUTSIDE_TAGS:
         return True
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id") and OUTSIDE_NAMES.search(value) or name == "role" and value.lower() in OUTSIDE_ROLES:
+        if tag == "article" and remarks and name in ("class", "id") and REMARK_NAMES.search(value):
+            return True
+        if name in ("class", "id") and tag not in CONTENT_TAGS and OUTSIDE_NAMES.search(value) or name == "role" and value.lower() in OUTSIDE_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
@@ -84,14 +93,16 @@ class Block:
         self.text, self.links, self.inside, self.heading, self.label = text, links, inside, heading, ""
 
 
-def blocks_of(page: str) -> tuple[list[Block], bool]:
-    """The text blocks outside excluded elements, and whether the page has an article or main element."""
+def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
+    """The text blocks outside excluded elements, and whether an article or main element holds most of their text.
+
+    ``remarks``: articles named as remarks are excluded too.
+    """
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements: tag, whether it excludes
     shut = articles = links = headings = 0
-    seen_article = False
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -141,22 +152,35 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             continue
         while stack and stack[-1][0] in CLOSED_BY.get(tag, ()):
             close(len(stack) - 1)
-        excludes = _outside(tag, m[3])
+        excludes = _outside(tag, m[3], remarks)
         stack.append((tag, excludes))
         shut += excludes
         articles += tag in ("article", "main")
         links += tag == "a"
         headings += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        seen_article |= tag in ("article", "main")
     flush()
-    return found, seen_article
+    inside = sum(len(b.text) - b.links for b in found if b.inside)
+    has_article = any(b.inside for b in found) and 2 * inside >= sum(len(b.text) - b.links for b in found)
+    if not has_article:
+        for b in found:
+            b.inside = False
+    return found, has_article
+
+
+def _stops(text: str) -> tuple[int, int]:
+    """A text's stop words and words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
 
 
 def classify(blocks: list[Block], has_article: bool) -> None:
     """Sets each block's label to good or bad."""
-    for b in blocks:
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+    counts = [_stops(b.text) for b in blocks]
+    prose = [c for b, c in zip(blocks, counts, strict=True) if len(b.text) >= SHORT and b.links <= LINKS_HIGH * len(b.text)]
+    # a page of another language: length and links decide
+    foreign = sum(k for k, _ in prose) < STOP_LOW * sum(n for _, n in prose)
+    for b, (k, words) in zip(blocks, counts, strict=True):
+        stops = k / max(1, words)
         density = b.links / len(b.text)
         if has_article and not b.inside:
             b.label = "bad"
@@ -166,7 +190,7 @@ def classify(blocks: list[Block], has_article: bool) -> None:
             b.label = "good" if len(b.text) >= SHORT or b.heading or stops >= STOP_LOW else "short"
         elif len(b.text) < SHORT:
             b.label = "short"
-        elif stops >= STOP_HIGH:
+        elif stops >= STOP_HIGH or foreign:
             b.label = "good" if len(b.text) > LONG else "near"
         else:
             b.label = "near" if stops >= STOP_LOW else "bad"
@@ -185,13 +209,17 @@ def classify(blocks: list[Block], has_article: bool) -> None:
             elif len(sides) == 1:
                 b.label = sides.pop()
             else:
-                b.label = "good" if b.label == "near" and sides else "bad"
+                b.label = "good" if b.label == "near" and (sides or foreign) else "bad"
 
 
 def main_text(page: str | None) -> str:
-    blocks, has_article = blocks_of(page or "")
-    classify(blocks, has_article)
-    return "\n".join(b.text for b in blocks if b.label == "good")
+    for remarks in (True, False):  # a page whose only article is named as a remark is read again
+        blocks, has_article = blocks_of(page or "", remarks)
+        classify(blocks, has_article)
+        good = [b.text for b in blocks if b.label == "good"]
+        if good or "<article" not in (page or "").lower():
+            break
+    return "\n".join(good)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
