@@ -66,9 +66,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def words_array(text: Column) -> Column:
-    """The words of a text, in order; of a null text, none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
+def one_space(text: Column) -> Column:
+    """A text with each white-space character made a space; of a null text, the empty one."""
+    text = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

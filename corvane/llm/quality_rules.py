@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, bind, words_array, written
+from corvane.llm.common import SPACES, bind, one_space, written
 
 BUCKETS = 1 << 20
 PRIOR = 40.0
@@ -42,65 +42,79 @@ STRATUM_UNIT = 1024
 BROADCAST_IDS = 2_000_000
 
 
-def repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window which the text has twice or more.
+def but_first(items: Column) -> Column:
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
 
-    The windows' hashes are sorted with their places; windows equal to a neighbour in that
-    order are repeats, and the union of their spans is measured place by place.  ``words``: the words, or hashes of
-    them; it must be a column or a bound variable, as it is looked up at every place.
-    """
-    n = F.size(words)
-    places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-
-    def spans(sorted_pairs: Column) -> Column:
-        twin = F.filter(
-            sorted_pairs, lambda x, k: (F.get(sorted_pairs, k - 1)["h"] == x["h"]) | (F.get(sorted_pairs, k + 1)["h"] == x["h"])
-        )
-        return F.aggregate(
-            F.sort_array(F.transform(twin, lambda x: x["i"])),
-            F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-            lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")),
-            lambda acc: acc["n"],
-        )
-
-    def measure(h: Column) -> Column:
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), bind(pairs, spans)).otherwise(F.lit(0))
-
-    return bind(hashes, measure).cast("long")
-
-
-def shape(text: Column) -> Column:
-    """A struct of the measures of a document's shape."""
-    text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
-    def measures(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            bind(F.transform(words, lambda w: F.xxhash64(w)), repeat_words).alias("n_repeat_words"),
-        )
+def but_last(items: Column) -> Column:
+    return F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
 
-    return bind(words_array(text), measures)
 
+def joined_hashes(hashes: Column) -> Column:
+    """The hashes of all neighbouring two: of words those of the pairs, of pairs those of 3-word windows."""
+    return F.zip_with(but_last(hashes), but_first(hashes), lambda a, b: F.xxhash64(a, b))
 
-def ngram_hashes(text: Column) -> Column:
-    """Hashes of a document's words and of its pairs of neighbouring words."""
 
-    def both(hashes: Column) -> Column:
-        pairs = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)))
-        return F.concat(hashes, F.slice(pairs, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))  # no word follows the last one
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_q_pieces``, the text between white-space characters, and ``_q_h``, the hashes of its words.
+
+    Each column is made in a step of its own, so that none is worked out twice.
+    """
+    pieces = rows.withColumn("_q_pieces", F.split(one_space(F.col("text")), " "))
+    return pieces.withColumn("_q_h", F.transform(F.array_remove("_q_pieces", ""), lambda w: F.xxhash64(w)))
 
-    return bind(F.transform(words_array(text), lambda w: F.xxhash64(w)), both)
+
+def with_repeat_words(rows: DataFrame) -> DataFrame:
+    """``rows``, which hold ``_q_h``, with n_repeat_words: words in a 3-word window that the text has twice or more.
+
+    Windows are sorted by the upper bits of their hashes, whose lower bits make room for the place;
+    neighbours whose whole hashes agree are repeats, and the union of their spans is measured place by place.
+    """
+    windows, order, bits = F.col("_q_t"), F.col("_q_order"), F.col("_q_bits")
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+    upper = lambda x: F.call_function("shiftright", x, bits)
+    twins = lambda x, y: (upper(x) == upper(y)) & (F.get(windows, place(x)) == F.get(windows, place(y)))
+    packed = F.transform(windows, lambda x, i: F.call_function("shiftleft", upper(x), bits).bitwiseOR(i.cast("long")))
+    spans = F.aggregate(
+        F.sort_array("_q_twins"),
+        F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+        lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")),
+        lambda acc: acc["n"].cast("long"),
+    )
+    return (
+        rows.withColumn("_q_p", joined_hashes(F.col("_q_h")))
+        .withColumn("_q_t", joined_hashes(F.col("_q_p")))
+        .withColumn("_q_some", F.size(F.array_distinct("_q_t")) < F.size("_q_t"))
+        .withColumn("_q_bits", F.length(F.bin(F.size("_q_t"))))
+        .withColumn("_q_packed", F.when(F.col("_q_some"), packed).otherwise(F.array().cast("array<long>")))
+        .withColumn("_q_order", F.sort_array("_q_packed"))
+        .withColumn("_q_double", F.filter(order, lambda x, k: twins(x, F.get(order, k - 1)) | twins(x, F.get(order, k + 1))))
+        .withColumn("_q_twins", F.transform("_q_double", place))
+        .withColumn("n_repeat_words", spans)
+        .drop("_q_p", "_q_t", "_q_some", "_q_bits", "_q_packed", "_q_order", "_q_double", "_q_twins")
+    )
+
+
+def with_shape(rows: DataFrame) -> DataFrame:
+    """``rows`` with the measures of a document's shape, and ``_q_h`` in place of ``text``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    measured = with_hashes(rows).withColumns(
+        {
+            "n_words": F.size("_q_h").cast("long"),
+            "word_chars": (F.length(text) - F.size("_q_pieces") + 1).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+            "n_dup_lines": bind(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        }
+    )
+    return with_repeat_words(measured.drop("text", "_q_pieces"))
 
 
 def ngram_cells(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
-    """(keep, cell): one row per n-gram of each row."""
-    grams = rows.select(*keep, F.explode(ngram_hashes(F.col("text"))).alias("_q_gram"))
+    """(keep, cell): one row per word and per pair of words of each row's text."""
+    hashes = with_hashes(rows.select(*keep, "text")).select(*keep, "_q_h")
+    pairs = hashes.withColumn("_q_p", joined_hashes(F.col("_q_h")))
+    grams = pairs.select(*keep, F.explode(F.concat("_q_h", "_q_p")).alias("_q_gram"))
     return grams.select(*keep, F.pmod("_q_gram", F.lit(buckets)).cast("int").alias("cell"))
 
 
@@ -151,8 +165,7 @@ def annotate_quality(
     key = {"_q_a": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "_q_b": F.xxhash64(F.col("doc_id"), stratum)}
     rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumns(key)
     flagged = flag_trusted(rows.select("_q_a", "_q_b", "doc_id", "text", stratum.alias("_q_stratum")), trusted)
-    shaped = flagged.withColumn("_q_shape", shape(F.col("text"))).select("_q_a", "_q_b", "_q_good", "_q_stratum", "_q_shape.*")
-    shaped = written(shaped, "shape")
+    shaped = written(with_shape(flagged).drop("doc_id", "_q_h"), "shape")
     weighed = flagged.join(stratum_weights(shaped), F.col("_q_stratum").eqNullSafe(F.col("_q_s"))).drop("_q_s")
     cells = F.broadcast(cell_counts(weighed, buckets))
     t = F.greatest(F.col("t") - F.col("_q_good"), F.lit(0)) * F.col("scale")
