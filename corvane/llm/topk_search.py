@@ -8,7 +8,8 @@ Vectors are scaled to integers, floor(scale * x).  Cut into segments of width w,
 the same statistics, (|q|^2 + |c|^2 - bound) / 2, and grows tighter from one segment to ever smaller ones.
 Candidates are packed into blocks, queries too; for each pair of blocks the bounds are computed level by level
 for the pairs that are left, and exact integer products for the survivors of the finest level, against the k-th best
-score that the block pair has found so far.  Blocks have a bounded number of rows, so memory doesn't grow with
+score that the query has found so far: in a first pass over one block of candidates, an exact score and hence safe everywhere,
+then in the block pair itself.  Each block pair is a key of its own, so tasks grow with the input.  Blocks have a bounded number of rows, so memory doesn't grow with
 the input; a block pair returns k rows per query, ranked again over all blocks.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite component take no part; queries and candidates of
@@ -30,7 +31,7 @@ from corvane.llm.common import small_batches, written
 
 SCALE = 256
 #: Segment widths as parts of a vector, coarse to fine.
-PARTS = (1, 4, 16)
+PARTS = (1, 4, 16, 32)
 ROWS, QUERIES = 4096, 512
 
 
@@ -62,12 +63,20 @@ def _scores(q: np.ndarray, c: np.ndarray, live: np.ndarray) -> tuple[np.ndarray,
     return i, j, np.concatenate([_exact(q[i[s : s + 50_000]], c[j[s : s + 50_000]]) for s in range(0, len(i), 50_000)] or [np.empty(0, np.int64)])
 
 
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, parts: tuple[int, ...] = PARTS, chunk: int = 1024):
-    """(query, candidate, score) arrays of each query's k best candidates within one block."""
+def search_block(
+    qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, parts: tuple[int, ...] = PARTS, chunk: int = 1024, start: np.ndarray | None = None, tally: list[int] | None = None
+):
+    """(query, candidate, score) arrays of each query's k best candidates within one block.
+
+    ``start``: for each query, a score that k candidates are known to reach; candidates below it may be left out.
+    ``tally``: takes the numbers of pairs that were not pruned.
+    """
     stats_q, stats_c = [np.hstack(_segments(q, p)) for p in parts], [np.hstack(_segments(c, p)) for p in parts]
     slack = 1e-9 * (np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0)) + 1e-6
     rows = score = found = np.empty(0, np.int64)  # the best so far: query's place, score, candidate
-    bar = np.full(len(qid), -np.inf)
+    bar = np.full(len(qid), -np.inf) if start is None else start.astype(float)
+    # a score clipped or rounded to a double may lie above the exact one
+    bar = bar - np.abs(np.nan_to_num(bar, neginf=0)) * 1e-15
     for a in range(0, len(cid), chunk):
         part = slice(a, a + chunk)
         live = qid[:, None] != cid[None, part]
@@ -75,21 +84,24 @@ def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
             for of_q, of_c in zip(stats_q, stats_c, strict=True):
                 live &= of_q @ of_c[part].T + slack >= bar[:, None]
         i, j, new = _scores(q, c[part], live)
+        if tally is not None:
+            tally.append(len(i))
         rows, score, found = np.concatenate([rows, i]), np.concatenate([score, new]), np.concatenate([found, cid[part][j]])
         # ~score orders from the highest score without leaving 64 bits
         order = np.lexsort((found, ~score, rows))
         rows, score, found = rows[order], score[order], found[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        bar[rows[place == k - 1]] = score[place == k - 1]
+        full = rows[place == k - 1]
+        bar[full] = np.maximum(bar[full], score[place == k - 1] * (1 - 1e-15 * np.sign(score[place == k - 1])))
         rows, score, found = rows[place < k], score[place < k], found[place < k]
     return qid[rows], found, score
 
 
 def _packed(rows: DataFrame, per_block: int, total: int) -> DataFrame:
-    """(dim, block, ids array, values array<array>): about ``per_block`` rows each."""
+    """(dim, block, rows): about ``per_block`` of ``rows`` each, as structs of all their columns."""
     blocks = max(1, -(-total // per_block))
     block = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("long")
-    return rows.groupBy(F.size("v").alias("dim"), block.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    return rows.groupBy(F.size("v").alias("dim"), block.alias("block")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -103,27 +115,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
     rows = written(rows, "vectors")
     queries = rows.where("asks")
     n, n_queries = rows.count(), queries.count()
+    blocks, q_blocks = max(1, -(-n // ROWS)), max(1, -(-n_queries // QUERIES))
     c = _packed(rows.select("id", "v"), ROWS, n).withColumnRenamed("rows", "c")
-    q = _packed(queries.select("id", "v"), QUERIES, n_queries).withColumnsRenamed({"rows": "q", "block": "q_block"})
-    q_blocks = max(1, -(-n_queries // QUERIES))
-    # every candidate block meets every query block: the queries are a stated set against all rows
-    pairs = c.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-    pairs = pairs.join(q, ["dim", "q_block"]).select("q", "c")
 
-    def unpack(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+    def unpack(column: pa.Array, row: int, *more: str) -> tuple[np.ndarray, ...]:
         items = column[row].values
         ids = items.field("id").to_numpy(zero_copy_only=False)
         values = items.field("v").flatten().to_numpy(zero_copy_only=False)
-        return ids, np.floor(values.reshape(len(ids), -1) * scale)
+        return ids, np.floor(values.reshape(len(ids), -1) * scale), *(items.field(f).to_numpy(zero_copy_only=False) for f in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                (qid, qm), (cid, cm) = unpack(batch.column(0), row), unpack(batch.column(1), row)
-                a, b, s = search_block(qid, qm, cid, cm, k)
+                (qid, qm, start), (cid, cm) = unpack(batch.column(0), row, "start"), unpack(batch.column(1), row)
+                a, b, s = search_block(qid, qm, cid, cm, k, start=np.where(np.isnan(start.astype(float)), -np.inf, start.astype(float)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "id", "score"])
 
-    near = pairs.mapInArrow(run, "query_id long, id long, score long")
+    def search(asking: DataFrame, among: DataFrame, number: int) -> DataFrame:
+        """(query_id, id, score): k rows of each query and each block; queries have a ``start``."""
+        q = _packed(asking, QUERIES, n_queries).withColumnsRenamed({"rows": "q", "block": "q_block"})
+        # every candidate block meets every query block: the queries are a stated set against all rows
+        q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))))
+        pairs = among.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+        return pairs.join(q, ["dim", "q_block", "block"]).select("q", "c").mapInArrow(run, "query_id long, id long, score long")
+
+    fresh = queries.select("id", "v", F.lit(None).cast("double").alias("start"))
+    first = search(fresh, c.where("block = 0"), 1)
+    bars = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("start"))
+    bars = bars.select(F.col("query_id").alias("id"), F.col("start").cast("double").alias("start"))
+    # a query id that several rows have may have found more than k candidates: no bar for it
+    alone = queries.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id").join(bars, "id")
+    near = search(written(queries.join(alone, "id", "left").select("id", "v", "start"), "queries"), c, blocks)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
