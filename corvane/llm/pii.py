@@ -9,13 +9,14 @@ states.  It is trained in numpy on generated sentences whose spans are known, wi
 patterns miss (spaces around dots, spelled-out signs, other groupings) and look-alikes that are no
 personal data (keys, hashes, version numbers, sums).  Training is seeded and takes place once per process.
 
-*Windows.*  A span of any kind holds a digit or an at sign, so windows are laid over the neighbourhood of
-those characters, half overlapping.  Each is decoded by Viterbi; spans that touch a window's inner edge are left to the
-window that holds them whole; spans of all windows are reconciled over the text: those
-that overlap a pattern's or a surer span go, and a span needs a minimum posterior and the digits of its kind.
-
-Edge cases: null and empty texts have no spans; texts of any length are covered whole; repeated rows are returned each;
-an empty table gives an empty result; other columns are not read.
+*Windows.*  A span of any kind holds a digit, an at sign or a spelled-out dot, so windows are laid over the neighbourhood of
+those, half overlapping.  Each is decoded by Viterbi; spans that touch a window's inner edge are left to the
+window that holds them whole, which is there for every span of up to ``MARGIN - 2`` characters (patterns find longer ones);
+spans of all windows are reconciled over the text: those that overlap a pattern's or a surer span go, and a span needs a minimum
+probability, worked out by a forward-backward pass held to it, and the digits and signs of its kind.
+
+Edge cases: null and empty texts have no spans; texts of any length are searched whole, in time in proportion to it; of spans
+alike in probability the first stays; repeated rows are returned each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,17 +36,18 @@ from corvane.llm.common import small_batches, text_batches
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns.  Possessive digits and the look-behind change no match: a match may as well begin with its run of digits.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]")
+EMAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|\b(?:dot|punkt|punto|point)\b|[\[({] ?(?:at|dot) ?[\])}]", re.IGNORECASE)
 TAGS = 1 + 2 * len(KINDS)
 CLASSES = "abcdefghijklmnopqrstuvwxyz0@._%+-()[]{}<>:;,/#'\"=! \n"
 OTHER = len(CLASSES)
-SIZE, HIDDEN, EMBED = 64, 14, 10
-POSTERIOR = 0.9
-MARGIN = 24
+SIZE, HIDDEN, EMBED = 96, 20, 12
+POSTERIOR = 0.7
+MARGIN = 48
 
 
 def luhn(digits: str) -> bool:
@@ -59,16 +61,16 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     out: list[tuple[str, int, int]] = []
-    at, done, n = text.find("@"), 0, len(text)
+    at, done = text.find("@"), 0
     while at >= 0:
-        # a match lies in one run of the pattern's characters
-        start, end = at, at + 1
-        while start > done and EMAIL_RUN.match(text[start - 1]):
-            start -= 1
-        while end < n and EMAIL_RUN.match(text[end]):
-            end += 1
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, start, end)]
-        done = end
+        # the host first: names alone, however long, are not searched again and again
+        end = at + 1
+        if at > done and text[at - 1] in EMAIL_NAME and (host := EMAIL_HOST.match(text, at)):
+            start, end = at - 1, host.end()
+            while start > done and text[start - 1] in EMAIL_NAME:
+                start -= 1
+            out.append(("email", start, end))
+            done = end
         at = text.find("@", end)
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
@@ -110,24 +112,26 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     num = lambda k: "".join(str(int(d)) for d in rng.integers(0, 10, k))
     parts = ["the", "an", "er", "tion", "ou", "es", "st", "le", "ment", "eux", "sch", "ung", "keit", "os", "ción", "ar", "re", "on", "é", "ü", "ing", "ha"]
-    word = lambda: "".join(pick(parts) for _ in range(int(rng.integers(1, 4))))
+    letters = lambda: pick("bcdfghjklmnprstvwz") + pick("aeiouy") + pick(["", "", "n", "r", "s", "t", "l"])
+    word = lambda: "".join(pick(parts) if rng.random() < 0.4 else letters() for _ in range(int(rng.integers(1, 4))))
     ascii_word = lambda: re.sub("[^a-z]", "", word()) or "x"
 
     def item() -> tuple[str, int]:
         kind = int(rng.integers(0, 9))
         if kind == 0:
-            name, host, end = pick([ascii_word(), f"{ascii_word()}.{ascii_word()}", f"{ascii_word()}.{num(2)}", f"{ascii_word()}{num(2)}"]), pick(["mail", "post", ascii_word()]) + pick(["", num(1)]), pick(["com", "org", "net", "example.com", "example.org"])
-            return pick([f"{name}@{host}.{end}"] * 3 + [f"{name} @ {host}.{end}", f"{name}@{host} . {end}"]), 0
+            name, host, end = pick([ascii_word(), f"{ascii_word()}.{ascii_word()}", f"{ascii_word()}.{num(2)}", f"{ascii_word()}{num(2)}", f"{ascii_word()}_{ascii_word()}"]), pick(["mail", "post", ascii_word()]) + pick(["", num(1)]), pick(["com", "org", "net", "de", "fr", "example.com", "example.org"])
+            at, dot = pick([" at ", " [at] ", " (at) ", "[at]", "(at)", " AT ", " @ "]), pick([" dot ", " [dot] ", " (dot) ", "[dot]", "(dot)", " DOT "])
+            return pick([f"{name}@{host}.{end}"] * 3 + [f"{name} @ {host}.{end}", f"{name}@{host} . {end}", f"{name} @ {host} . {end}"] + [f"{name}{at}{host}{dot}{end.replace('.', dot)}"] * 3), 0
         if kind == 1:
             quad = [str(int(x)) for x in rng.integers(1, 256, 4)]
-            return pick([".".join(quad)] * 3 + [" . ".join(quad), "[.]".join(quad)]), 1
+            return pick([".".join(quad)] * 3 + [" . ".join(quad), "[.]".join(quad), " dot ".join(quad), "(.)".join(quad)]), 1
         if kind == 2:
             digits = pick("3456") + num(15)
             four = [digits[i : i + 4] for i in range(0, 16, 4)]
-            return pick([digits, digits, " ".join(four), "-".join(four), ".".join(four)]), 2
+            return pick([digits, digits, " ".join(four), "-".join(four), ".".join(four), "/".join(four), " - ".join(four)]), 2
         if kind == 3:
             a, b, c = num(3), num(3), num(4)
-            return pick([f"+1 ({a}) {b}-{c}"] * 3 + [f"({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"00{num(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}"]), 3
+            return pick([f"+1 ({a}) {b}-{c}"] * 3 + [f"({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"00{num(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b} {c}", f"00{num(2)}-{a}-{b}-{c}", f"+ {num(2)} {a} {b} {c}"]), 3
         if kind == 4:
             return pick([f"version {num(1)}.{num(1)}.", f"{num(1)}.{num(1)}.{num(1)}", f"{num(1)}.0", f"{num(2)} %", f"$ {num(3)}.{num(2)}", f"{num(4)}-{num(2)}-{num(2)}", num(int(rng.integers(1, 6)))]), -1
         if kind == 5:
@@ -135,12 +139,12 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]
         if kind == 6:
             return pick(["password=", "AKIA", 'token = "']) + "".join(pick("0123456789abcdefGHKLMN") for _ in range(16)), -1
         if kind == 7:
-            return pick([f"{word()} {num(2)}:{num(2)}", f"#{num(3)}", f"({num(4)})", f"@{word()}", f"{num(3)},{num(3)},{num(3)}", f"p. {num(3)}-{num(3)}"]), -1
+            return pick([f"{word()} at {word()}", f"{word()} dot {word()}", f"at {num(1)} dot {num(2)}", f"{word()} {num(2)}:{num(2)}", f"#{num(3)}", f"({num(4)})", f"@{word()}", f"{num(3)},{num(3)},{num(3)}", f"p. {num(3)}-{num(3)}"]), -1
         return word(), -1
 
     text, spans = "", []
     for _ in range(int(rng.integers(6, 16))):
-        if rng.random() < 0.25:
+        if rng.random() < 0.4:
             part, kind = item()
         else:
             part, kind = word(), -1
@@ -234,16 +238,22 @@ def emissions(x: np.ndarray, p: dict, keep: bool = False):
     return h @ p["out"] + p["bias"], (e, h, sf, sb)
 
 
-def marginals(scores: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: log partition, posteriors of tags, expected counts of transitions."""
-    n, t, _ = scores.shape
+def forward_backward(scores: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: forward and backward scores, log partition."""
+    t = scores.shape[1]
     alpha, beta = np.empty_like(scores), np.zeros_like(scores)
     alpha[:, 0] = scores[:, 0] + p["first"]
     for k in range(1, t):
         alpha[:, k] = scores[:, k] + _lse(alpha[:, k - 1][:, :, None] + p["trans"], 1)
     for k in range(t - 2, -1, -1):
         beta[:, k] = _lse(p["trans"] + (scores[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-    z = _lse(alpha[:, -1], 1)
+    return alpha, beta, _lse(alpha[:, -1], 1)
+
+
+def marginals(scores: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch: log partition, posteriors of tags, expected counts of transitions."""
+    t = scores.shape[1]
+    alpha, beta, z = forward_backward(scores, p)
     post = np.exp(alpha + beta - z[:, None, None])
     pair = np.zeros((TAGS, TAGS), scores.dtype)
     for k in range(1, t):
@@ -274,9 +284,9 @@ def loss_and_gradient(x: np.ndarray, y: np.ndarray, p: dict) -> tuple[float, dic
 
 
 @lru_cache(2)
-def train(steps: int = 320, batch: int = 48, seed: int = 9) -> dict[str, np.ndarray]:
+def train(steps: int = 1000, batch: int = 40, seed: int = 9, size: int = 64) -> dict[str, np.ndarray]:
     """The tagger's parameters after ``steps`` of Adam; the same on every machine run."""
-    x, y, _ = training_set(steps * batch // 2, seed)
+    x, y, _ = training_set(steps * batch // 4, seed, size)
     p = _start(seed)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     rng = np.random.default_rng(seed)
@@ -284,7 +294,7 @@ def train(steps: int = 320, batch: int = 48, seed: int = 9) -> dict[str, np.ndar
         pick = rng.integers(0, len(x), batch)
         _, g = loss_and_gradient(x[pick], y[pick], p)
         norm = np.sqrt(sum((a**2).sum() for a in g.values()))
-        rate = 0.02 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
+        rate = 0.03 * min(1.0, step / 20) * (1 - 0.95 * step / steps)
         for k in p:
             a = g[k] * min(1.0, 5 / norm)
             m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.99 * v[k] + 0.01 * a**2
@@ -328,10 +338,25 @@ def windows(text: str, size: int = SIZE, margin: int = MARGIN) -> list[int]:
     return out
 
 
+def span_probability(scores: np.ndarray, alpha: np.ndarray, beta: np.ndarray, z: float, p: dict, a: int, b: int, kind: int) -> float:
+    """The probability, in one window, of exactly this span: a forward-backward pass held to its tags and to its end."""
+    first, inner = 1 + 2 * kind, 2 + 2 * kind
+    total = alpha[a, first]
+    for k in range(a + 1, b):
+        total += p["trans"][first if k == a + 1 else inner, inner] + scores[k, inner]
+    if b < len(scores):
+        last = inner if b > a + 1 else first
+        after = p["trans"][last] + scores[b] + beta[b]
+        after[inner] = -np.inf
+        total += _lse(after[None], 1)[0]
+    return float(np.exp(total - z))
+
+
 def _plausible(kind: int, piece: str) -> bool:
     digits = sum(c.isdigit() for c in piece)
     if kind == 0:
-        return "@" in piece and "." in piece and len(piece) >= 6
+        at = "@" in piece or re.search(r"\bat\b", piece, re.IGNORECASE)
+        return bool(at and ("." in piece or re.search(r"\bdot\b", piece, re.IGNORECASE)) and len(piece) >= 6)
     if kind == 1:
         numbers = re.findall("[0-9]+", piece)
         return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
@@ -359,7 +384,7 @@ class Tagger:
             some = np.flatnonzero((path > 0).any(axis=1))
             if not len(some):
                 continue
-            _, post, _ = marginals(scores[some], self.params)
+            alpha, beta, z = forward_backward(scores[some], self.params)
             for q, r in enumerate(some):
                 k, s = part[r]
                 tags = path[r]
@@ -368,9 +393,12 @@ class Tagger:
                     while b < SIZE and tags[b] == tags[a] + 1:
                         b += 1
                     cut = (b == SIZE and s + SIZE < len(texts[k])) or (a == 0 and s > 0)
-                    sure = float(post[q, np.arange(a, b), tags[a:b]].min())
-                    if not cut and sure >= self.posterior and s + b <= len(texts[k]):
-                        proposals[k].append((sure, s + int(a), s + int(b), int(tags[a] - 1) // 2))
+                    if cut or s + b > len(texts[k]):
+                        continue
+                    kind = int(tags[a] - 1) // 2
+                    sure = span_probability(scores[r], alpha[q], beta[q], z[q], self.params, int(a), int(b), kind)
+                    if sure >= self.posterior:
+                        proposals[k].append((sure, s + int(a), s + int(b), kind))
         out = []
         for k, text in enumerate(texts):
             taken, new = [(a, b) for _, a, b in base[k]], []
