@@ -9,7 +9,10 @@ section and so on (whole names; never the page, its body or its main element).
 most of the text, only blocks inside it are candidates, and boilerplate needs evidence; elsewhere main text needs
 it: stop words, or where a page has hardly any of those known, length and few links.
 
-Edge cases: a null or empty page has the text ''; unclosed and misnested tags, comments and pages
+A header inside an article is no part of its text either.
+
+Edge cases: a null or empty page has the text ''; very long pages are read whole, repeated rows each; a quote that is never closed
+ends with its tag; unclosed and misnested tags, comments and pages
 cut off anywhere are read as far as they go; repeated rows are returned each; an empty table
 gives an empty result; other columns are not read.
 """
@@ -60,7 +63,7 @@ OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search fo
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that a new tag of the given kind closes, if they are innermost.
 CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|$)", re.DOTALL)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]*(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.IGNORECASE) for t in RAW_TAGS}
 SPACES = re.compile(r"\s+")
@@ -133,12 +136,14 @@ def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        # the second form is a tag with a quote that nothing closes: it ends at the next bracket
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if tag is None:
             continue
-        tag = m[2].lower()
+        tag = tag.lower()
         if tag in BLOCK_TAGS:
             flush()
-        if m[1]:
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -152,7 +157,7 @@ def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
             continue
         while stack and stack[-1][0] in CLOSED_BY.get(tag, ()):
             close(len(stack) - 1)
-        excludes = _outside(tag, m[3], remarks)
+        excludes = _outside(tag, attributes, remarks)
         stack.append((tag, excludes))
         shut += excludes
         articles += tag in ("article", "main")
