@@ -25,13 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share: the session's checkpoint folder, or else one in its warehouse.
+
+    Where the session names no checkpoint folder and has no other machine than this one, as in tests, a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if context.master.split("[")[0] != "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/corvane"
+    if context.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="corvane-")
+    return _OWN_DIRS[context.applicationId]
 
 
 def written(df: DataFrame, tag: str = "step") -> DataFrame:
