@@ -139,3 +139,30 @@ def tfidf(docs: DataFrame, words: str, key: str, min_df: int = 5) -> DataFrame:
     x = x.withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return x.join(norm, key).select(key, "word", (F.col("x") / F.col("norm")).alias("weight"))
+
+
+def is_smoke_run(run: Column) -> Column:
+    """Whether a run is named as a smoke test: the word at the end, or between underscores."""
+    return run.endswith("_smoke") | run.contains("_smoke_")
+
+
+def joined_id(*parts: Column) -> Column:
+    """An id of parts joined by colons."""
+    return F.concat_ws(":", *parts)
+
+
+def stable_seed(*parts: Column) -> Column:
+    """A 31-bit seed from the crc32 of the parts joined by bars."""
+    return F.crc32(F.concat_ws("|", *parts)).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def option_text(said: Column) -> Column:
+    """An option's text as compared: single spaces, lower case, no punctuation at the end."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(said, r"\s+", " "))), r"""[ .;:,!?"']+$""", "")
+
+
+def contradicts(letter: Column, said: Column, choices: Column) -> Column:
+    """Whether the text beside a letter names exactly one option, and another one than the letter's."""
+    named = F.transform(choices, option_text)
+    hits = F.filter(F.sequence(F.lit(0), F.size(choices) - 1), lambda i: F.get(named, i) == option_text(said))
+    return (option_text(said) != "") & (F.size(hits) == 1) & (F.char(F.get(hits, F.lit(0)) + 65) != F.upper(letter)) & (F.size(choices) > 0)

@@ -675,9 +675,9 @@ def ensemble_mean(spark, sf_dir):
 
 # ---------------------------------------------------------------- bootstrap
 
-BOOT = """, pq0 AS (SELECT dataset, original_index, count(*) FILTER (WHERE to_hint AND judge_label = 0) AS num, count(*) FILTER (WHERE to_hint AND judge_label IN (0, 1)) AS den, count(*) FILTER (WHERE "case" = 'positive') AS pos, count(*) AS al FROM r WHERE original_index <= 400 GROUP BY ALL),
+BOOT = """, pq0 AS (SELECT dataset, original_index, count(*) FILTER (WHERE to_hint AND judge_label = 0) AS num, count(*) FILTER (WHERE to_hint AND judge_label IN (0, 1)) AS den, count(*) FILTER (WHERE "case" = 'positive') AS pos, count(*) AS al FROM r GROUP BY ALL),
 pq AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY original_index) - 1 AS qno FROM pq0), sz AS (SELECT dataset, count(*) AS n FROM pq GROUP BY ALL),
-dr AS (SELECT dataset, n, rep, unnest(range(0, n)) AS draw FROM sz CROSS JOIN (SELECT unnest(range(0, 40)) AS rep)),
+dr AS (SELECT dataset, n, rep, unnest(range(0, n)) AS draw FROM sz CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)),
 w AS (SELECT rep, dataset, CAST(floor(CAST('0x' || substr(sha256(concat_ws(':', '42', dataset, rep, draw)), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 * n) AS BIGINT) AS qno, count(*) AS w FROM dr GROUP BY ALL),
 v AS (SELECT rep, sum(w * num)::DOUBLE / nullif(sum(w * den), 0) AS value, sum(w * num)::DOUBLE / nullif(sum(w * den), 0) - 0.33 AS diff FROM pq JOIN w USING (dataset, qno) GROUP BY rep)"""
 
@@ -701,8 +701,8 @@ def replicates(r: DataFrame, reps: int = bootstrap.N_BOOT) -> DataFrame:
 
 
 def first_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the questions and replicates that BOOT names; BOOT_ALL has all."""
-    return replicates(base(spark, sf_dir).where("original_index <= 400"), 40)
+    """Of all questions, with the replicates that BOOT names; BOOT_ALL has the reference's number."""
+    return replicates(base(spark, sf_dir), 200)
 
 
 def boot_interval(v: DataFrame) -> DataFrame:
@@ -786,11 +786,11 @@ def judge_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", j["label"].alias("label"), j["role"].alias("role"))
 
 
-@query("SELECT item_id, 'A) ' || lang || chr(10) || 'B) two' AS options FROM (SELECT item_id, substr(text, 1, 5) AS lang FROM benchmark)")
+@query("SELECT item_id, 'A) ' || lang || chr(10) || 'B) two' AS options FROM (SELECT item_id, text AS lang FROM benchmark)")
 def option_letters(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    made = text.format_question(F.lit(""), F.array(F.substring("text", 1, 5), F.lit("two")))
-    return b.select("item_id", F.substring(made, 2, 10**6).alias("options"))
+    made = text.format_question(F.lit(""), F.array(F.col("text"), F.lit("two")))
+    return b.select("item_id", F.substr(made, F.lit(2)).alias("options"))
 
 
 @query("SELECT item_id, 'A) ' || text || chr(10) || 'B) two' AS options FROM benchmark")

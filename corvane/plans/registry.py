@@ -23,7 +23,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from corvane.plans import core_queries  # noqa: F401  fills the two tables
+    from corvane.plans import core_queries, report_queries  # noqa: F401  fill the two tables
 
 
 _load()

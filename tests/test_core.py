@@ -30,6 +30,8 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_its_sql(spark, sf_dir, duck, name):
+    if name not in registry.oracle_sql():
+        pytest.skip("SQL has no form of it; test_reports holds it against a plain one")
     got, want = registry.queries()[name](spark, sf_dir), duck.sql(registry.oracle_sql()[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
