@@ -108,9 +108,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges``: (a long, b long) in any order, with repeats and loops.  Returns (node, root): every
     node that has an edge to another one, and its component's smallest node.  Each step
-    joins edges with per-node minima, which are aggregated before the shuffle, so a node
-    with very many neighbours is never gathered in one place; a step's edges are written to
-    the shared folder, and only two counts per step reach the driver.
+    joins edges with per-node minima, which are aggregated before the shuffle.  The edges of a node with very
+    many neighbours meet in one partition of that join, which is streamed, not held, and which adaptive execution
+    splits where it is large; a step's edges are written to the shared folder, and only counts reach the driver.
     """
     spark = edges.sparkSession
     e = written(
