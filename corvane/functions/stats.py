@@ -74,10 +74,12 @@ def auroc(df: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
 
 def recall_at_fpr(df: DataFrame, label: str, score: str, fpr: float, keys: list[str]) -> DataFrame:
     """(keys, threshold, recall): the floor(fpr * negatives)-th highest negative score, and positives strictly above it."""
-    negatives = df.where(F.col(label) == 0)
-    counts = negatives.groupBy(*keys).agg(F.floor(F.count("*") * fpr).alias("_at"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc())) - 1
-    bar = negatives.withColumn("_place", place).join(counts, keys).where("_place = _at").select(*keys, F.col(score).alias("threshold"))
+    # counted by score first, so that a group's window holds its distinct scores only
+    cells = df.where(F.col(label) == 0).groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    higher = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.floor(F.sum("_n").over(Window.partitionBy(*keys)) * fpr)
+    placed = cells.withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0))).withColumn("_at", at)
+    bar = placed.where("_above <= _at and _at < _above + _n").select(*keys, F.col(score).alias("threshold"))
     positives = df.where(F.col(label) == 1).join(bar, keys)
     return positives.groupBy(*keys, "threshold").agg(F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("recall"))
 
