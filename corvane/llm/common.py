@@ -103,6 +103,23 @@ def text_batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> I
             yield batch.slice(first)
 
 
+def text_hash() -> Column:
+    """The hash by which a row's text is known; a null text is the empty one."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``docs`` with one row left of each (doc_id, th) in ``kept``, th being the text's hash; all columns stay.
+
+    Rows are known by th and a hash of doc_id with th, plain columns by which both the join and the removal of
+    repeated rows are dealt, so that whole texts are shuffled once.
+    """
+    name = lambda i, th: F.xxhash64(i.isNull(), i, th)
+    rows = docs.withColumns({"_k_name": name(F.col("doc_id"), text_hash()), "_k_th": text_hash()})
+    names = kept.select(name(F.col("doc_id"), F.col("th")).alias("_k_name"), F.col("th").alias("_k_th"))
+    return rows.join(names, ["_k_name", "_k_th"], "left_semi").dropDuplicates(["_k_name", "_k_th"]).drop("_k_name", "_k_th")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

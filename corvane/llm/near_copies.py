@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, small_batches, text_batches, written
+from corvane.llm.common import connected_components, keep_named, small_batches, text_batches, text_hash, written
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -31,6 +31,8 @@ BANDS, ROWS = 24, 5
 ROUNDS = 3
 #: Pairs of one text that are verified with one copy of it.
 FAN = 256
+#: Hashes of texts in shared buckets that are broadcast at most (8 bytes each); more are joined in a shuffle.
+BROADCAST_TEXTS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -115,8 +117,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 def similar_edges(docs: DataFrame, points: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Edges (a, b) of verified similar texts, by hash: enough that no two rows both kept are similar."""
     left = written(_shared(points.select("th", "first", F.posexplode("keys").alias("band", "key"))), "buckets")
-    texts = docs.select("th", "text").join(left.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
-    texts = written(texts, "texts")
+    met = left.select("th").distinct()
+    met = F.broadcast(met) if met.count() <= BROADCAST_TEXTS else met
+    texts = written(docs.select("th", "text").join(met, "th", "left_semi").dropDuplicates(["th"]), "texts")
     edges = []
     for _ in range(ROUNDS):
         if left.isEmpty():
@@ -140,12 +143,9 @@ def similar_edges(docs: DataFrame, points: DataFrame, shingle: int = SHINGLE, si
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one row left of each class of near copies, the one of smallest doc_id, all columns kept."""
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), th.alias("th"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash().alias("th"))
     points = written(_points(rows, shingle), "points")
     roots = connected_components(similar_edges(rows, points, shingle, similar))
     classes = points.join(roots, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
-    kept = classes.groupBy("root").agg(F.min(F.struct("first", "th")).alias("x")).select(F.col("x.first.doc_id").alias("_c_id"), F.col("x.th").alias("_c_th"))
-    out = docs.withColumn("_c_own", th)
-    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("_c_id")) & (F.col("_c_own") == F.col("_c_th")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_c_own"]).drop("_c_own")
+    kept = classes.groupBy("root").agg(F.min(F.struct("first", "th")).alias("x"))
+    return keep_named(docs, kept.select(F.col("x.first.doc_id").alias("doc_id"), F.col("x.th").alias("th")))

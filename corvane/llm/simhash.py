@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, small_batches, text_batches, written
+from corvane.llm.common import connected_components, keep_named, small_batches, text_batches, written
 
 SHINGLE = 3
 DISTANCE = 3
@@ -187,8 +187,4 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row left of each class of near-duplicates, all columns kept."""
     found = near_duplicates(docs.select("doc_id", "text"), shingle=shingle, distance=distance).where("keeper")
-    found = found.select(F.col("doc_id").alias("_s_id"), F.col("th").alias("_s_th")).distinct()
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.withColumn("_s_own", th)
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.col("_s_own") == F.col("_s_th")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_s_own"]).drop("_s_own")
+    return keep_named(docs, found)
