@@ -15,11 +15,16 @@ def stratum(low: float = 0.7) -> Column:
 
 
 def allocate_quota(available: dict[str, int], target: int, weights: dict[str, float] | None = None, minimum: int = 0) -> dict[str, int]:
-    """Shares ``target`` among cells by weight, none above what it has: fill, floor, largest remainders."""
-    weights = weights or {c: float(n) for c, n in available.items()}
-    share = {c: float(min(minimum, n)) for c, n in available.items()}
+    """Shares ``target`` among cells by weight (1 if not given) times what they have, none above that: fill, floor, largest remainders.
+
+    Each cell that has rows gets ``minimum`` at least, and 1 at least, as far as ``target`` allows it for all.
+    """
+    available = {c: int(n) for c, n in available.items() if n > 0}
+    weights = {c: (weights or {}).get(c, 1.0) * n for c, n in available.items()}
+    floors = [{c: min(n, m) for c, n in available.items()} for m in (max(minimum, 1), 1, 0)]
+    share = {c: float(n) for c, n in next(f for f in floors if sum(f.values()) <= max(target, 0)).items()}
     open_cells = {c for c in available if share[c] < available[c] and weights[c] > 0}
-    left = min(target, sum(available.values())) - sum(share.values())
+    left = min(max(target, 0), sum(available.values())) - sum(share.values())
     while left > 1e-9 and open_cells:
         total = sum(weights[c] for c in open_cells)
         step = {c: left * weights[c] / total for c in open_cells}
@@ -35,7 +40,7 @@ def allocate_quota(available: dict[str, int], target: int, weights: dict[str, fl
     rest = round(sum(share.values())) - sum(out.values())
     for c in sorted(share, key=lambda c: (-(share[c] - out[c]), c))[:rest]:
         out[c] += 1
-    return out
+    return {c: n for c, n in out.items() if n > 0}
 
 
 def draw(frame: DataFrame, cell: list[str], per_cell: int, seed: int) -> DataFrame:

@@ -69,6 +69,9 @@ def test_quota_allocation():
     assert validation.allocate_quota({"a": 2, "b": 2}, 10) == {"a": 2, "b": 2}
     more = validation.allocate_quota({"a": 10, "b": 3, "c": 100}, 80)
     assert all(more[c] >= got[c] for c in got)
+    assert validation.allocate_quota({"a": 10, "b": 10}, 10, {"a": 3.0}) == {"a": 7, "b": 3}  # weights multiply what cells have
+    assert validation.allocate_quota({"a": 1000, "b": 1}, 10) == {"a": 9, "b": 1}  # a rare cell stays
+    assert validation.allocate_quota({"x": 9, "y": 9, "z": 9}, 2) == {"x": 1, "y": 1} and validation.allocate_quota({"a": 5, "b": 0}, 0) == {}
 
 
 def test_wilson_holds_the_estimate(spark):
