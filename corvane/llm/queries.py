@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import html_extract, license_scan, mixing, pii, quality_fm, quality_rules, sentencepiece_bpe, simhash, substring_dedup, topk_search
+from corvane.llm import filter_audit, html_extract, license_scan, mixing, pii, quality_fm, quality_rules, sentencepiece_bpe, simhash, substring_dedup, topk_search, whitening
 from corvane.llm.common import table
 
 #: The tokenizer's file among the public ones; the path is looked up where the query runs.
@@ -65,6 +65,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text", "lang")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM d WHERE len(words) >= 20),
@@ -91,8 +99,8 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_simhash, op4_license_scan, op5_mixing, op6_quality_fm, op7_topk, op8_pii, op9_html, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_simhash, op4_license_scan, op5_mixing, op6_quality_fm, op7_topk, op8_pii, op9_html, op10_quality_rules, op11_whitening, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op7_topk": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op7_topk": OP7_SQL, "op13_filter_audit": filter_audit.SQL}
