@@ -120,6 +120,23 @@ def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.join(names, ["_k_name", "_k_th"], "left_semi").dropDuplicates(["_k_name", "_k_th"]).drop("_k_name", "_k_th")
 
 
+#: Keys with more than one in so many rows are sent to the rows they belong to; there are fewer of them than this.
+HEAVY = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """``left`` left-joined with ``right``, which has one row a key at most, safe with keys of any number of rows.
+
+    ``sizes``: (keys, c), the rows of each key in ``left``.  Keys with more than 1 / HEAVY of all rows, fewer than
+    HEAVY by that, are broadcast; the rest is shuffled.  Keys are not null.  ``left`` is read twice.
+    """
+    total = sizes.agg(F.sum("c").alias("c")).first()["c"] or 0
+    heavy = F.broadcast(sizes.where(F.col("c") * HEAVY > total).select(*keys))
+    few = right.join(heavy, keys, "left_semi")
+    hot = left.join(heavy, keys, "left_semi").join(F.broadcast(few), keys, "left")
+    return hot.unionByName(left.join(heavy, keys, "left_anti").join(right, keys, "left"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

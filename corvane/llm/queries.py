@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import filter_audit, html_extract, license_scan, mixing, pii, quality_fm, quality_rules, sentencepiece_bpe, simhash, substring_dedup, topk_search, whitening
+from corvane.llm import filter_audit, html_extract, license_scan, mixing, pii, quality_fm, quality_rules, sentencepiece_bpe, simhash, substring_dedup, topk_search, url_filter, whitening
 from corvane.llm.common import table
 
 #: The tokenizer's file among the public ones; the path is looked up where the query runs.
@@ -69,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -99,8 +103,8 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_simhash, op4_license_scan, op5_mixing, op6_quality_fm, op7_topk, op8_pii, op9_html, op10_quality_rules, op11_whitening, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_simhash, op4_license_scan, op5_mixing, op6_quality_fm, op7_topk, op8_pii, op9_html, op10_quality_rules, op11_whitening, op12_url_filters, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op7_topk": OP7_SQL, "op13_filter_audit": filter_audit.SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op7_topk": OP7_SQL, "op12_url_filters": url_filter.sql(), "op13_filter_audit": filter_audit.SQL}
