@@ -7,9 +7,10 @@
 bucket.  A pair of similarity 0.8 meets in none with a chance of 7e-5, a more similar one with less.
 
 *Verification.*  In each bucket all are compared with its first, exactly on the sets; what is similar to the first
-leaves all buckets, the first leaves this one, and the rest goes on.  After ``ROUNDS`` such rounds the rest of a
-bucket is compared pair by pair.  First means what comes first among the rows to keep, so of two rows
-that are both kept and share a bucket each was compared with the other.
+leaves all buckets, the first leaves this one, and the rest goes on.  First means what comes first among the rows to
+keep.  What is left in shared buckets after ``ROUNDS`` such rounds, texts that share much yet too little, is joined
+exactly by prefixes: shingles that one text alone holds can match nothing, and sets alike by 0.8 share one of the rarest
+n - ceil(0.8 n) + 1 of each.  Two rows that are both kept and share a bucket were thus compared, or can't be alike.
 
 Edge cases: null and empty texts are equal; repeated rows are one; an empty table gives an empty result.
 """
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import connected_components, keep_named, small_batches, text_batches, text_hash, written
+from corvane.llm.common import connected_components, join_unique, keep_named, small_batches, text_batches, text_hash, written
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 5
 ROUNDS = 3
+#: Texts of one prefix shingle that meet in one block.
+MEET = 512
 #: Pairs of one text that are verified with one copy of it.
 FAN = 256
 #: Hashes of texts in shared buckets that are broadcast at most (8 bytes each); more are joined in a shuffle.
@@ -114,6 +117,41 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["band", "key"], "left_semi")
 
 
+def prefix_pairs(texts: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (th, text), a < b, among which all pairs alike by ``similar`` are.
+
+    Shingles are ranked by the number of texts that hold them, rare ones first; a shingle of many texts
+    is met block by block, and pairs whose sizes or places in the ranking rule the similarity out are not made.
+    """
+    small_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            for th, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = shingle_set(text, shingle).view(np.int64)
+                columns = [pa.array(np.full(len(h), th, np.int64)), pa.array(np.full(len(h), len(h), np.int64)), pa.array(h)]
+                yield pa.RecordBatch.from_arrays(columns, names=["th", "n", "h"])
+
+    held = written(texts.select("th", "text").mapInArrow(run, "th long, n long, h long"), "shingles")
+    counts = written(held.groupBy("h").agg(F.count("*").alias("c")), "counts")
+    shared = join_unique(held, counts.where("c > 1").withColumnRenamed("c", "df"), ["h"], counts).where("df is not null")
+    ranked = shared.groupBy("th", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    alone = F.col("n") - F.size("s")  # shingles of this text only come first
+    first = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 1e-9) + 1 - alone).cast("int")
+    prefix = ranked.select("th", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "x"))
+    prefix = written(prefix.select("th", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.h").alias("h")), "prefix")
+    sizes = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    met = join_unique(prefix, sizes.withColumn("blocks", F.ceil(F.col("c") / MEET).cast("int")), ["h"], sizes).where("c is not null")
+    own = F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")
+    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "th", "n", "at")
+    left, right = met.toDF("h", "lo", "hi", "a", "na", "pa"), met.toDF("h", "lo", "hi", "b", "nb", "pb")
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    need = F.lit(similar / (1 + similar)) * (F.col("na") + F.col("nb")) - 1e-6
+    sized = F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb") - 1e-6
+    return left.join(right, ["h", "lo", "hi"]).where(F.col("a") < F.col("b")).where(sized & (most >= need)).select("a", "b").distinct()
+
+
 def similar_edges(docs: DataFrame, points: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Edges (a, b) of verified similar texts, by hash: enough that no two rows both kept are similar."""
     left = written(_shared(points.select("th", "first", F.posexplode("keys").alias("band", "key"))), "buckets")
@@ -125,13 +163,13 @@ def similar_edges(docs: DataFrame, points: DataFrame, shingle: int = SHINGLE, si
         if left.isEmpty():
             break
         heads = left.groupBy("band", "key").agg(F.min(F.struct("first", "th"))["th"].alias("a"))
-        rest = left.join(heads, ["band", "key"]).where("th <> a")
+        sizes = left.groupBy("band", "key").agg(F.count("*").alias("c"))
+        rest = written(join_unique(left, heads, ["band", "key"], sizes).where("th <> a"), "rest")
         edges.append(written(_verified(rest.select("a", F.col("th").alias("b")).distinct(), texts, shingle, similar), "similar"))
         rest = rest.drop("a").join(edges[-1].select(F.col("b").alias("th")).distinct(), "th", "left_anti")
         left = written(_shared(rest), "buckets")
     if not left.isEmpty():
-        other = left.select("band", "key", F.col("th").alias("b"))
-        pairs = left.select("band", "key", F.col("th").alias("a")).join(other, ["band", "key"]).where("a < b").select("a", "b").distinct()
+        pairs = prefix_pairs(texts.join(left.select("th").distinct(), "th", "left_semi"), shingle, similar)
         edges.append(written(_verified(pairs, texts, shingle, similar), "similar"))
     if not edges:
         return points.sparkSession.createDataFrame([], "a long, b long")

@@ -1,5 +1,7 @@
 """Near copies by five-word shingles, against brute force."""
 
+import random
+
 import corpus_pipeline
 from corvane.llm import near_copies, simhash
 from corvane.llm.common import table
@@ -33,3 +35,41 @@ def test_chains_groups_and_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == [0, 1000, 1002, 1004]
     assert near_copies.keep_one(df.where("false")).count() == 0
+
+
+def boilerplate():
+    """300 texts that share half of their words and buckets, some of them near copies of each other."""
+    common = [f"c{i}" for i in range(120)]
+    rows = [(k, " ".join(common + [f"own{k}x{i}" for i in range(56)])) for k in range(300)]
+    return rows + [(1000 + k, rows[k][1] + " tail") for k in range(0, 300, 30)]
+
+
+def test_boilerplate_makes_few_pairs(spark):
+    rows = boilerplate()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.select("doc_id", "text", near_copies.text_hash().alias("th"))
+    ids = {r["th"]: r["doc_id"] for r in texts.collect()}
+    pairs = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in near_copies.prefix_pairs(texts).collect()}
+    like = similar_pairs([r.asDict() for r in df.collect()])
+    assert {(rows[i][0], rows[j][0]) for i, j in like} == {(k, 1000 + k) for k in range(0, 300, 30)} <= pairs
+    assert len(pairs) < 100  # of 44,850
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == list(range(300))
+
+
+def test_prefix_pairs_hold_all_similar_ones(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(150):
+        text = words[:] if k % 3 else words[: rng.randint(1, 60)]
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = f"z{rng.randint(0, 5)}"
+        rows.append((k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.select("text", near_copies.text_hash().alias("th")).distinct()
+    given = texts.collect()
+    near_copies.MEET = 16  # several blocks
+    pairs = {frozenset((r["a"], r["b"])) for r in near_copies.prefix_pairs(texts).collect()}
+    near_copies.MEET = 512
+    want = {frozenset((given[i]["th"], given[j]["th"])) for i, j in similar_pairs(given)}
+    assert want and want <= pairs
