@@ -1,17 +1,90 @@
-"""Question-cluster bootstrap on a table of draws."""
+"""Bootstrap of units within strata by blocks of weights: no row stands for a single draw.
 
-from __future__ import annotations
+A replicate draws, in each stratum, as many units as it has, with replacement.  The draws are named by hashes, in two
+levels.  Level one deals a replicate's draws over blocks of ``BLOCK`` units and keeps only their numbers, a vector of
+replicates for each block.  Level two makes the weights inside a block, replicates x units, and multiplies them with
+all statistics of all groups of the block at once; a task adds up what its blocks give, and Spark adds up the tasks.
+All statistics therefore share the same weights, and the shuffles hold replicates x blocks and replicates x groups.
+"""
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from corvane.functions.stats import unit_hash
+import hashlib
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Replicates of the reference.
 N_BOOT = 10_000
-#: Draws that one row stands for until they are made.
-DRAW_BLOCK = 4096
+#: Units of a block; replicates and draws of a piece of level-one work.
+BLOCK = 1024
+REP_CHUNK, DRAW_CHUNK = 500, 1 << 20
+#: Weights that a task holds at a time.
+HELD = 1 << 20
+#: Constants of the 32-bit mixer.
+MIX_1, MIX_2 = 0x7FEB352D, 0x846CA68B
+_ONE = np.uint32(1)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 32-bit mixer of uint32 numbers: shifts of 16, 15, 16 with a multiplication after the first two."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(MIX_1)
+    x = x ^ (x >> np.uint32(15))
+    x = x * np.uint32(MIX_2)
+    return x ^ (x >> np.uint32(16))
+
+
+def stratum_keys(seed: int, stratum: str) -> tuple[np.uint32, np.uint32]:
+    digest = hashlib.sha256(f"{seed}:{stratum}".encode()).hexdigest()
+    return np.uint32(int(digest[:8], 16)), np.uint32(int(digest[8:16], 16))
+
+
+def rep_keys(seed: int, stratum: str, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one, two = stratum_keys(seed, stratum)
+    reps = reps.astype(np.uint32)
+    return mix(one ^ reps), mix(two + reps)
+
+
+def drawn(one: np.ndarray, two: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Numbers below n (under 2^32) for draws ``place`` under a pair of keys; the sum of two permutations."""
+    hashed = mix(place ^ one) ^ mix(place + two)
+    return (hashed.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)
+
+
+def block_counts(seed: int, stratum: str, n: int, reps: np.ndarray, first: int, last: int) -> np.ndarray:
+    """(replicates, blocks): how many of a replicate's draws first..last-1 fall in each block."""
+    blocks = -(-n // BLOCK)
+    out = np.zeros((len(reps), blocks), np.int64)
+    one, two = rep_keys(seed, stratum, reps)
+    rows = max(1, HELD // (last - first))
+    place = np.arange(first, last, dtype=np.uint32)[None, :]
+    for r in range(0, len(reps), rows):
+        at = drawn(one[r : r + rows, None], two[r : r + rows, None], place, n) // np.uint64(BLOCK)
+        at = at.astype(np.int64) + np.arange(len(at))[:, None] * blocks
+        out[r : r + rows] = np.bincount(at.ravel(), minlength=len(at) * blocks).reshape(len(at), blocks)
+    return out
+
+
+def block_sums(seed: int, stratum: str, n: int, block: int, counts: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    """(replicates, columns): weights of the block's units times their statistics, ``counts`` draws a replicate."""
+    size = min(BLOCK, n - block * BLOCK)
+    one, two = rep_keys(seed, stratum, np.arange(len(counts)))
+    own = np.uint32((2 * block + 1) & 0xFFFFFFFF)
+    one, two = mix(one ^ own), mix(two + own)
+    out, rows = np.zeros((len(counts), stats.shape[1])), max(1, HELD // size)
+    for r in range(0, len(counts), rows):
+        c = counts[r : r + rows]
+        rep = np.repeat(np.arange(len(c)), c)
+        place = (np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint32)
+        at = drawn(one[r : r + rows][rep], two[r : r + rows][rep], place, size).astype(np.int64)
+        weights = np.bincount(rep * size + at, minlength=len(c) * size).reshape(len(c), size)
+        out[r : r + rows] = weights.astype(float) @ stats[:size]
+    return out
 
 
 def numbered(questions: DataFrame) -> DataFrame:
@@ -27,41 +100,150 @@ def numbered(questions: DataFrame) -> DataFrame:
     return q.withColumn("qno", (F.col("before") + F.col("place")).cast("long")).drop("cell", "place", "before")
 
 
-def draws(questions: DataFrame, reps: int = N_BOOT, seed: int = 42) -> DataFrame:
-    """(rep, dataset, qno): per replicate and dataset as many draws as it has questions, by hash.
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
-    ``questions``: (dataset, qno), qno from 0 to the dataset's number of questions.  Blocks of draws are dealt
-    over all tasks before they are made: by number, as few bytes would else be put together into one task.
-    """
-    spark = questions.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    sizes = questions.groupBy("dataset").agg(F.count("*").alias("n"))
-    blocks = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    blocks = blocks.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAW_BLOCK).cast("long"))))
-    made = blocks.repartition(tasks, "rep", "dataset", "first")
-    made = made.withColumn("draw", F.explode(F.sequence("first", F.least(F.col("first") + DRAW_BLOCK, "n") - 1)))
-    pick = F.floor(unit_hash(F.lit(str(seed)), F.col("dataset"), F.col("rep"), F.col("draw")) * F.col("n"))
-    return made.select("rep", "dataset", pick.alias("qno"))
 
+def _draws(sizes: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(stratum, n, block, rep, counts): level one over strata ``sizes`` (stratum, n)."""
+    span = lambda last, step: F.explode(F.sequence(F.lit(0).cast("long"), last - 1, F.lit(step).cast("long")))
+    work = sizes.where("n > 0").withColumn("rep", span(F.lit(reps).cast("long"), REP_CHUNK)).withColumn("first", span(F.col("n"), DRAW_CHUNK))
+    work = work.repartition(_tasks(sizes), "stratum", "rep", "first")
 
-def ratio_replicates(per_question: DataFrame, drawn: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """(keys, rep, value): numerators over denominators of the questions drawn, null where that is 0."""
-    g = drawn.join(per_question, ["dataset", "qno"]).groupBy(*keys, "rep").agg(F.sum("num").alias("a"), F.sum("den").alias("b"))
-    return g.select(*keys, "rep", F.try_divide(F.col("a").cast("double"), F.col("b")).alias("value"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, n, rep, first in zip(*(batch.column(c).to_pylist() for c in ("stratum", "n", "rep", "first")), strict=True):
+                counts = block_counts(seed, s, n, np.arange(rep, min(rep + REP_CHUNK, reps)), first, min(first + DRAW_CHUNK, n))
+                for b in range(0, counts.shape[1], 256):
+                    made = counts[:, b : b + 256].T.astype(np.int32)
+                    k = len(made)
+                    columns = [pa.array([s] * k, pa.string()), pa.array([n] * k, pa.int64()), pa.array(range(b, b + k), pa.int64()), pa.array([rep] * k, pa.int64()), pa.array(list(made), pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["stratum", "n", "block", "rep", "counts"])
+
+    return work.mapInArrow(run, "stratum string, n long, block long, rep long, counts array<int>")
+
+
+def replicate_sums(units: DataFrame, stats: DataFrame, names: list[str], *, reps: int = N_BOOT, seed: int = 42) -> DataFrame:
+    """(grp, rep, names...): the sums of each group's statistics over the units that a replicate draws.
+
+    ``units``: (stratum string, qno), each unit once, qno from 0 to the stratum's size, which is under 2^32.
+    ``stats``: (stratum, qno, grp string, names...), any number of rows a unit; nulls count as 0.  Every group of
+    ``stats`` has a row for each replicate.  A task holds replicates x groups sums and one block of units; sums of
+    whole numbers below 2^53 are exact, so that they don't depend on how rows are dealt.
+    """
+    sizes = units.groupBy("stratum").agg(F.count("*").alias("n"))
+    counts = _draws(sizes, reps, seed)
+    wide = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
+    block = F.shiftright("qno", BLOCK.bit_length() - 1)
+    rows = stats.select("stratum", block.alias("block"), F.lit(1).alias("kind"), (F.col("qno") - block * BLOCK).alias("at"), F.lit(0).cast("long").alias("rep"), F.lit(None).cast("array<int>").alias("counts"), "grp", wide.alias("stats"))
+    given = counts.select("stratum", "block", F.lit(0).alias("kind"), F.col("n").alias("at"), "rep", "counts", F.lit(None).cast("string").alias("grp"), F.lit(None).cast("array<double>").alias("stats"))
+    both = given.unionByName(rows).repartition(_tasks(units), "stratum", "block").sortWithinPartitions("stratum", "block", "kind")
+    width = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        now: tuple | None = None
+        counts, n, held = np.zeros(reps, np.int64), 0, []
+
+        def close() -> None:
+            if not held:
+                return
+            groups = sorted({g for g, _, _ in held})
+            place = {g: k for k, g in enumerate(groups)}
+            table = np.zeros((BLOCK, len(groups) * width))
+            for g, at, values in held:
+                table[at, place[g] * width : (place[g] + 1) * width] += values
+            sums = block_sums(seed, now[0], n, now[1], counts, table)
+            for g, k in place.items():
+                if g not in total:
+                    total[g] = np.zeros((reps, width))
+                total[g] += sums[:, k * width : (k + 1) * width]
+
+        for batch in batches:
+            for s, b, kind, at, rep, c, g, values in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if (s, b) != now:
+                    if now is not None:
+                        close()
+                    now, n, held = (s, b), 0, []
+                    counts = np.zeros(reps, np.int64)
+                if kind == 0:
+                    n = at
+                    counts[rep : rep + len(c)] += c
+                else:
+                    held.append((g, at, values))
+        if now is not None:
+            close()
+        for g, sums in total.items():
+            columns = [pa.array([g] * reps, pa.string()), pa.array(range(reps), pa.int32()), *[pa.array(np.ascontiguousarray(sums[:, k])) for k in range(width)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["grp", "rep", *names])
+
+    made = both.mapInArrow(run, "grp string, rep int, " + ", ".join(f"`{c}` double" for c in names))
+    return made.groupBy("grp", "rep").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def with_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with grp, a text of the keys' values that ``split_groups`` takes apart."""
+    return df.withColumn("grp", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])) if keys else F.lit("[]"))
+
+
+def split_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    parts = F.from_json("grp", "array<string>")
+    return df.withColumns({k: F.get(parts, F.lit(i)) for i, k in enumerate(keys)}).drop("grp")
+
+
+def ratio(num: str = "num", den: str = "den") -> Column:
+    """A replicate's ratio, null where its denominator is not positive."""
+    return F.when(F.col(den) > 0, F.col(num) / F.col(den))
 
 
 def interval(replicates: DataFrame, keys: list[str] = [], level: float = 0.95) -> DataFrame:  # noqa: B006
-    """Percentile bounds, null if under half of the replicates are defined."""
+    """(keys, n_defined, undefined_reps, ci_low, ci_high): percentile bounds of ``value``, null if under half of the replicates are defined."""
     tail = (1 - level) / 2
     enough = F.count("value") >= F.lit(0.5) * F.count("*")
     return replicates.groupBy(*keys).agg(
         F.count("value").alias("n_defined"),
+        F.count_if(F.col("value").isNull()).alias("undefined_reps"),
         F.when(enough, F.percentile("value", F.lit(tail))).alias("ci_low"),
         F.when(enough, F.percentile("value", F.lit(1 - tail))).alias("ci_high"),
     )
 
 
 def p_value(replicates: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Two-sided, zero counted in both tails."""
+    """(keys, p): two-sided over the defined ``value``s, zero counted in both tails; null if under half are defined."""
     below, above = F.avg((F.col("value") <= 0).cast("double")), F.avg((F.col("value") >= 0).cast("double"))
-    return replicates.groupBy(*keys).agg(F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p"))
+    enough = F.count("value") >= F.lit(0.5) * F.count("*")
+    return replicates.groupBy(*keys).agg(F.when(enough, F.least(F.lit(1.0), 2 * F.least(below, above))).alias("p"))
+
+
+def ratio_table(units: DataFrame, rows: DataFrame, keys: list[str], *, reps: int = N_BOOT, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(keys, num, den, point, n_defined, undefined_reps, ci_low, ci_high) of sum(num) / sum(den) in each group.
+
+    ``rows``: (stratum, qno, keys, num, den).
+    """
+    grouped = with_groups(rows, keys).groupBy("stratum", "qno", "grp").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    sums = replicate_sums(units, grouped, ["num", "den"], reps=reps, seed=seed).withColumn("value", ratio())
+    point = grouped.groupBy("grp").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).withColumn("point", ratio())
+    return split_groups(point.join(interval(sums, ["grp"], level), "grp"), keys)
+
+
+def sign_contrast(units: DataFrame, rows: DataFrame, keys: list[str], *, reps: int = N_BOOT, seed: int = 42) -> DataFrame:
+    """(keys, rep, value): the sign-exact contrast of modelled over measured counts, null where ``den`` is not positive.
+
+    ``rows``: (stratum, qno, n_options, keys, modelled, measured, den), whole counts.  modelled / (n_options - 2) minus
+    measured is scaled by the least common multiple of all n_options - 2, so that replicates are whole numbers and
+    a difference of zero is zero.  Options of two or fewer, and sums that doubles can't hold exactly, are errors.
+    """
+    kinds = [r["d"] for r in rows.select((F.col("n_options") - 2).alias("d")).distinct().limit(1000).collect()]  # numbers of options are few
+    if not kinds:
+        return split_groups(replicate_sums(units, with_groups(rows, keys).withColumn("value", F.lit(0)), ["value", "den"], reps=reps, seed=seed), keys).select(*keys, "rep", "value")
+    if any(d is None or d <= 0 for d in kinds):
+        raise ValueError("a contrast needs more than two options")
+    scale = math.lcm(*map(int, kinds))
+    scaled = F.sum(F.col("modelled") * (F.lit(scale) / (F.col("n_options") - 2)).cast("long") - F.col("measured") * scale)
+    per = with_groups(rows, keys).groupBy("stratum", "qno", "grp").agg(scaled.alias("value"), F.sum("den").alias("den"))
+    most = per.agg(F.max(F.abs("value")).alias("m")).first()["m"] or 0
+    if most * units.count() >= 1 << 53:
+        raise ValueError("the contrast's sums are beyond exact doubles")
+    sums = replicate_sums(units, per, ["value", "den"], reps=reps, seed=seed)
+    return split_groups(sums.withColumn("value", F.when(F.col("den") > 0, F.col("value"))), keys).select(*keys, "rep", "value")

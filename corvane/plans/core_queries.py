@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import stats, text
-from corvane.operators import bootstrap, manifest, predicates, protocols, resample, splits, validation
+from corvane.operators import manifest, predicates, protocols, resample, splits, validation
 from corvane.plans.adapters import WITH_C, WITH_R, WITH_REL, letter, rollouts, table
 from corvane.plans.registry import ORACLES, QUERIES
 
@@ -673,66 +673,6 @@ def ensemble_mean(spark, sf_dir):
     return rounded(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.avg(F.length("text")).alias("score"), F.count("*").alias("n_units")), "score")
 
 
-# ---------------------------------------------------------------- bootstrap
-
-BOOT = """, pq0 AS (SELECT dataset, original_index, count(*) FILTER (WHERE to_hint AND judge_label = 0) AS num, count(*) FILTER (WHERE to_hint AND judge_label IN (0, 1)) AS den, count(*) FILTER (WHERE "case" = 'positive') AS pos, count(*) AS al FROM r GROUP BY ALL),
-pq AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY original_index) - 1 AS qno FROM pq0), sz AS (SELECT dataset, count(*) AS n FROM pq GROUP BY ALL),
-dr AS (SELECT dataset, n, rep, unnest(range(0, n)) AS draw FROM sz CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)),
-w AS (SELECT rep, dataset, CAST(floor(CAST('0x' || substr(sha256(concat_ws(':', '42', dataset, rep, draw)), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 * n) AS BIGINT) AS qno, count(*) AS w FROM dr GROUP BY ALL),
-v AS (SELECT rep, sum(w * num)::DOUBLE / nullif(sum(w * den), 0) AS value, sum(w * num)::DOUBLE / nullif(sum(w * den), 0) - 0.33 AS diff FROM pq JOIN w USING (dataset, qno) GROUP BY rep)"""
-
-
-BOOT_ALL = """, pq0 AS (SELECT dataset, original_index, count(*) FILTER (WHERE to_hint AND judge_label = 0) AS num, count(*) FILTER (WHERE to_hint AND judge_label IN (0, 1)) AS den FROM r GROUP BY ALL),
-pq AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY original_index) - 1 AS qno FROM pq0), sz AS (SELECT dataset, count(*) AS n FROM pq GROUP BY ALL),
-dr AS (SELECT dataset, n, rep, unnest(range(0, n)) AS draw FROM sz CROSS JOIN (SELECT unnest(range(0, 10000)) AS rep)),
-w AS (SELECT rep, dataset, CAST(floor(CAST('0x' || substr(sha256(concat_ws(':', '42', dataset, rep, draw)), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 * n) AS BIGINT) AS qno FROM dr),
-v AS (SELECT rep, sum(num)::DOUBLE / nullif(sum(den), 0) AS value, sum(num)::DOUBLE / nullif(sum(den), 0) - 0.33 AS diff FROM w JOIN pq USING (dataset, qno) GROUP BY rep)"""
-
-
-def question_counts(r: DataFrame) -> DataFrame:
-    y = F.col("judge_label")
-    q = r.groupBy("dataset", "original_index").agg(F.count_if(F.col("to_hint") & (y == 0)).alias("num"), F.count_if(F.col("to_hint") & y.isin(0, 1)).alias("den"))
-    return bootstrap.numbered(q)
-
-
-def replicates(r: DataFrame, reps: int = bootstrap.N_BOOT) -> DataFrame:
-    q = question_counts(r)
-    return bootstrap.ratio_replicates(q, bootstrap.draws(q.select("dataset", "qno"), reps, 42))
-
-
-def first_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all questions, with the replicates that BOOT names; BOOT_ALL has the reference's number."""
-    return replicates(base(spark, sf_dir), 200)
-
-
-def boot_interval(v: DataFrame) -> DataFrame:
-    return rounded(bootstrap.interval(v), "ci_low", "ci_high")
-
-
-def boot_p_value(v: DataFrame) -> DataFrame:
-    return rounded(bootstrap.p_value(v.where("value is not null").withColumn("value", F.col("value") - 0.33)), "p")
-
-
-@query(WITH_R + BOOT + " SELECT count(value) AS n_defined, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high FROM v")
-def bootstrap_ratio(spark, sf_dir):
-    return boot_interval(first_replicates(spark, sf_dir))
-
-
-@query(WITH_R + BOOT + " SELECT round(least(1.0, 2 * least(avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN diff >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p FROM v WHERE value IS NOT NULL")
-def bootstrap_diff_pvalue(spark, sf_dir):
-    return boot_p_value(first_replicates(spark, sf_dir))
-
-
-@query(WITH_R + BOOT_ALL + " SELECT count(value) AS n_defined, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high FROM v")
-def bootstrap_ratio_all(spark, sf_dir):
-    return boot_interval(replicates(base(spark, sf_dir)))
-
-
-@query(WITH_R + BOOT_ALL + " SELECT round(least(1.0, 2 * least(avg(CASE WHEN diff <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN diff >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p FROM v WHERE value IS NOT NULL")
-def bootstrap_diff_pvalue_all(spark, sf_dir):
-    return boot_p_value(replicates(base(spark, sf_dir)))
-
-
 # ---------------------------------------------------------------- text
 
 

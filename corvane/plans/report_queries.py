@@ -291,25 +291,3 @@ def labelled_contradiction(spark, sf_dir):
     said = F.when(k == 0, "red apple.").when(k == 1, "GREEN!").when(k == 2, F.concat(F.lit("Blue "), lang)).when(k == 3, "").otherwise("other")
     d = table(spark, sf_dir, "documents").select("doc_id", letter(F.col("doc_id") % 4).alias("letter"), said.alias("said"), F.array(F.lit("Red  apple"), blue, F.lit("Green."), blue).alias("choices"))
     return d.select("doc_id", text.option_text(F.col("said")).alias("said"), text.contradicts(F.col("letter"), F.col("said"), F.col("choices")).alias("contradicts"))
-
-
-# ---------------------------------------------------------------- bootstrap
-
-#: Of each question, summed over its rollouts: the excess of measured over modelled switches times 24, an integer for 4, 5 and 10 options.
-SIGNS = """, pq0 AS (SELECT dataset, original_index, sum(CASE WHEN changed AND NOT to_hint THEN 24 // (n_options - 2) ELSE 0 END - CASE WHEN changed AND baseline_hint_votes >= 1 THEN 24 ELSE 0 END)::BIGINT AS num, count(*) FILTER (WHERE changed)::BIGINT AS den FROM r GROUP BY ALL),
-pq AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY original_index) - 1 AS qno FROM pq0), sz AS (SELECT dataset, count(*) AS n FROM pq GROUP BY ALL), dr AS (SELECT dataset, n, rep, unnest(range(0, n)) AS draw FROM sz CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)),
-w AS (SELECT rep, dataset, CAST(floor(CAST('0x' || substr(sha256(concat_ws(':', '42', dataset, rep, draw)), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0 * n) AS BIGINT) AS qno FROM dr),
-v AS (SELECT rep, sum(num) AS value, sum(den) AS den FROM w JOIN pq USING (dataset, qno) GROUP BY rep) SELECT count(*) AS n_defined, min(value)::BIGINT AS low, max(value)::BIGINT AS high, round(least(1.0, 2 * least(avg(CASE WHEN value <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN value >= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p FROM v WHERE den > 0"""
-
-
-@query(WITH_R + SIGNS)
-def exact_sign_contrast(spark, sf_dir):
-    r = base(spark, sf_dir)
-    options = F.when(F.col("dataset") == "mmlu", 4).when(F.col("dataset") == "aqua", 5).otherwise(10)
-    modelled = F.when(F.col("changed") & ~F.col("to_hint"), (24 / (options - 2)).cast("long")).otherwise(0)
-    measured = F.when(F.col("changed") & (F.col("baseline_hint_votes") >= 1), 24).otherwise(0)
-    q = bootstrap.numbered(r.groupBy("dataset", "original_index").agg(F.sum(modelled - measured).alias("num"), F.count_if("changed").alias("den")))
-    drawn = bootstrap.draws(q.select("dataset", "qno"), 200, 42)
-    v = drawn.join(q, ["dataset", "qno"]).groupBy("rep").agg(F.sum("num").alias("value"), F.sum("den").alias("den")).where("den > 0")
-    ends = v.agg(F.count("*").alias("n_defined"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return rounded(ends.crossJoin(F.broadcast(bootstrap.p_value(v))), "p")  # one row each
