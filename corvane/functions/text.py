@@ -2,51 +2,102 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The forms in which a rollout commits to an answer, as Java patterns; {L} is the class of letters.
 #: A separator after a labelled letter: a period may not be followed by a lower-case word, a hyphen needs white space.
 SEPARATOR = r"(?:[):]|\.(?!\s*(?-i:[a-z]))|-(?=\s))"
-BARE_TAG = r"(?i)<answer>\s*([{L}])\s*</answer>"
-LABELLED_TAG = r"(?i)<answer>\s*\(?\s*([{L}])\s*" + SEPARATOR
-JSON_FORMS = (r"(?i)\{\s*\"answer\"\s*:\s*\"([{L}])\"\s*\}", r"(?i)\{\s*\"answer\"\s*:\s*'([{L}])'\s*\}", r"(?i)\"answer\"\s*:\s*\"([{L}])\"")
-BOXED = (r"(?i)\\boxed\{\s*\\(?:text|textbf|textrm|mathrm|mathbf)\{\s*\(?\s*([{L}])\s*\)?\s*\}\s*\}", r"(?i)\\boxed\{\s*\(?\s*([{L}])\s*\)?\s*\}")
-END = r"\s*\.?\s*$"
-ANY_COMMIT = "(?:" + "|".join(f.replace("(?i)", "").replace("([{L}])", "[A-J]") for f in (BARE_TAG, LABELLED_TAG, *JSON_FORMS[:2], *BOXED)) + ")"
+BARE_TAG = r"<answer>\s*([{L}])\s*</answer>"
+LABEL = r"<answer>\s*\(?\s*([{L}])\s*" + SEPARATOR
+JSON_FORMS = (r"\{\s*\"answer\"\s*:\s*\"([{L}])\"\s*\}", r"\{\s*\"answer\"\s*:\s*'([{L}])'\s*\}", r"\"answer\"\s*:\s*\"([{L}])\"")
+BOXED = r"\\boxed\{\s*(?:\\(?:text|textbf|textrm|mathrm|mathbf)\{\s*\(?\s*([{L}])\s*\)?\s*\}|\(?\s*([{L}])\s*\)?)\s*\}"
+END = r"\s*\.?\s*\z"
+#: The forms by name, with any letter and quote, which locate a commit and decide no answer.
+COMMIT_FORMS = (("answer_tag", r"<answer>\s*[A-J]\s*</answer>"), ("labelled_tag", LABEL.replace("([{L}])", "[A-J]")), ("json", r"\{\s*[\"']answer[\"']\s*:\s*[\"'][A-J][\"']\s*\}"), ("boxed", BOXED.replace("([{L}])", "[A-J]")))
+ANY_COMMIT = "(?:" + "|".join(p for _, p in COMMIT_FORMS) + ")"
+#: Single letters that case folding and lower case treat differently, and those that fold to several.
+FOLD_ONE = ("ςſ", "σs")
+FOLD_MANY = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def _extract(text: Column, pattern: str, letters: str | Column, group: int = 1) -> Column:
+    """What a group of ``pattern`` matches first, null if nothing; letters may differ by row."""
+    made = F.lit("(?is)" + pattern.replace("{L}", letters)) if isinstance(letters, str) else F.replace(F.lit("(?is)" + pattern), F.lit("{L}"), letters)
+    return F.nullif(F.call_function("regexp_extract", text, made, F.lit(group)), F.lit(""))
+
+
+def _first(text: Column, forms: tuple[str, ...], letters: str | Column, end: str = "") -> Column:
+    """The letter of the first form, in order, that is found; of two groups, the one that matched."""
+    found = [_extract(text, f + end, letters, g + 1) for f in forms for g in range(f.count("([{L}])"))]
+    return F.upper(F.coalesce(*found))
 
 
-def _first(text: Column, forms: tuple[str, ...], letters: str, end: str = "") -> Column:
-    found = [F.nullif(F.regexp_extract(text, f.replace("{L}", letters) + end, 1), F.lit("")) for f in forms]
-    return F.upper(F.coalesce(*found))
+def _labelled(text: Column, letters: str | Column, choices: Column | None, closing: bool = False) -> tuple[Column, Column]:
+    """(whether ``text`` has a labelled tag, its letter): the letter is null where the text beside it names one other option.
+
+    That text runs to the next answer tag or to the end.  ``closing``: only a tag that ends the text counts, closed or not.
+    """
+    if closing:
+        text = _extract(text, r"^.*(<answer>.*)\z", "")
+    lead = r"^" if closing else r"^.*?"
+    head = _extract(text, f"({lead}{LABEL}\\s*)", letters)
+    letter = F.upper(_extract(text, lead + LABEL, letters))
+    rest = F.substring(text, F.length(head) + 1, F.length(text))
+    said = F.regexp_extract(rest, r"(?is)^(.*?)\s*(?:</?answer>|\z)", 1)
+    here = head.isNotNull()
+    if closing:
+        after = F.regexp_extract(rest, r"(?is)^.*?</answer>(.*)\z", 1)
+        here = here & (~F.contains(F.lower(rest), F.lit("</answer>")) | after.rlike(r"^" + END))
+    if choices is not None:
+        letter = F.when(~F.coalesce(contradicts(letter, said, choices), F.lit(False)), letter)
+    return F.coalesce(here, F.lit(False)), letter
 
 
 def after_reasoning(text: Column, close: str = "</think>") -> tuple[Column, Column]:
     """(the text after the last close mark that a commit follows, whether there is one)."""
-    real = rf"(?is)^.*{close}(?=.*{ANY_COMMIT})"
+    real = rf"(?is)^.*{re.escape(close)}(?=.*{ANY_COMMIT})"
     return F.regexp_replace(text, real, ""), text.rlike(real)
 
 
-def parse_answer(text: Column, letters: str = "A-D", close: str = "</think>", thinking: bool = True) -> Column:
-    """The committed letter: bare tag, labelled tag, JSON, boxed, read after the real close mark.
+def parse_answer(text: Column, letters: str | Column = "A-D", close: str = "</think>", thinking: bool = True, choices: Column | None = None) -> Column:
+    """The committed letter: bare tag, labelled tag, JSON, boxed, in that order, read after the real close mark.
 
-    Without any close mark, a reasoning rollout counts a commit only at its very end.
+    Without any close mark, a reasoning rollout counts a commit only at its very end.  ``letters`` is the inside of a
+    character class, a column where it differs by row.  With ``choices``, the options' texts, a labelled tag
+    whose text names exactly one other option gives null, whatever forms follow it.
     """
     rest, real = after_reasoning(text, close)
-    cut = F.regexp_replace(text, rf"(?is)^.*?{close}", "")
-    forms = (BARE_TAG, LABELLED_TAG, *JSON_FORMS, *BOXED)
-    ending = _first(text, (LABELLED_TAG + r"[^<]*(?:</answer>)?",), letters, END)
-    closing = F.coalesce(_first(text, (BARE_TAG,), letters, END), ending, _first(text, (*JSON_FORMS[:2], *BOXED), letters, END))
-    open_end = closing if thinking else _first(text, forms, letters)
-    return F.when(real, _first(rest, forms, letters)).when(text.rlike(f"(?i){close}"), _first(cut, forms, letters)).otherwise(open_end)
+    cut = F.regexp_replace(text, rf"(?is)^.*?{re.escape(close)}", "")
+
+    def committed(t: Column) -> Column:
+        tag, letter = _labelled(t, letters, choices)
+        return F.coalesce(_first(t, (BARE_TAG,), letters), F.when(tag, letter).otherwise(_first(t, (*JSON_FORMS, BOXED), letters)))
+
+    tag, letter = _labelled(text, letters, choices, closing=True)
+    closing = F.when(tag, letter).otherwise(_first(text, (BARE_TAG, *JSON_FORMS[:2], BOXED), letters, END))
+    open_end = closing if thinking else committed(text)
+    return F.when(real, committed(rest)).when(text.rlike(f"(?i){re.escape(close)}"), committed(cut)).otherwise(open_end)
+
+
+def answer_commit(text: Column, close: str = "</think>") -> Column:
+    """(start, form) of the first commit after the real close mark, null without one; start counts characters from 0."""
+    rest, real = after_reasoning(text, close)
+    at = F.regexp_instr(rest, F.lit("(?is)" + ANY_COMMIT))
+    here = F.substring(rest, at, F.length(rest))
+    form = F.coalesce(*[F.when(here.rlike("(?is)^" + p), F.lit(name)) for name, p in COMMIT_FORMS])
+    return F.when(real, F.struct((F.length(text) - F.length(rest) + at - 1).alias("start"), form.alias("form")))
 
 
 def extract_cot(text: Column, open_mark: str = "<think>", close: str = "</think>") -> Column:
     """The reasoning between the marks, trimmed; up to the close mark without an open one; '' without a close mark."""
     rest, real = after_reasoning(text, close)
+    shut, opened = re.escape(close), re.escape(open_mark)
     head = F.when(real, F.substring(text, F.lit(1), F.length(text) - F.length(rest) - len(close)))
-    head = head.when(text.rlike(f"(?i){close}"), F.regexp_extract(text, rf"(?is)^(.*?){close}", 1)).otherwise(F.lit(""))
-    return F.regexp_replace(F.regexp_replace(head, rf"(?is)^.*?{open_mark}", ""), r"^\s+|\s+$", "")
+    head = head.when(text.rlike(f"(?i){shut}"), F.regexp_extract(text, rf"(?is)^(.*?){shut}", 1)).otherwise(F.lit(""))
+    return F.regexp_replace(F.regexp_replace(head, rf"(?is)^.*?{opened}", ""), r"^\s+|\s+$", "")
 
 
 def commit_present(text: Column) -> Column:
@@ -65,14 +116,59 @@ def judge_input_sha(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat(*[x for p in parts for x in (F.coalesce(p, F.lit("")), F.lit("\0"))]), 256), 1, 16)
 
 
+#: Pieces of a text as JSON sees them: a string, a brace, a stray quote, anything else.
+_JSON_PIECES = r"(?s)(\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|[{}]|\"|[^\"{}]++)"
+
+
+def json_object_at(rest: Column) -> Column:
+    """The object that ``rest``, a text from a brace on, begins with, up to the brace that closes it; null without one.
+
+    Braces within strings don't count; a string ends at a quote that no backslash escapes.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("end"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        read = state["read"] + F.length(piece)
+        done = (piece == "}") & (depth == 0)
+        return F.when(state["end"] > 0, state).otherwise(F.struct(depth.alias("depth"), read.alias("read"), F.when(done, read).otherwise(F.lit(0)).alias("end")))
+
+    end = F.aggregate(F.regexp_extract_all(rest, F.lit(_JSON_PIECES), F.lit(1)), start, step)["end"]
+    return F.when(end > 0, F.substring(rest, F.lit(1), end))
+
+
+def first_json_object(text: Column) -> Column:
+    """The first object in a text that is JSON, as text: each brace is tried in order; null where none begins one.
+
+    Prose, fences, stray braces and cut objects are passed over; an object inside a broken one is found.
+    A key may repeat, NaN is allowed, other departures from JSON are not.
+    """
+    parts = F.split(text, r"\{", -1)
+    lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
+    starts = F.aggregate(lengths, F.array().cast("array<int>"), lambda got, n: F.concat(got, F.array(F.coalesce(F.get(got, F.size(got) - 1), F.lit(0)) + n + 1)))
+    found = F.transform(starts, lambda at: json_object_at(F.substring(text, at, F.length(text))))
+    valid = F.filter(found, lambda x: x.isNotNull() & F.from_json(x, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull())
+    return F.get(valid, F.lit(0))
+
+
 def judgement(raw: Column) -> Column:
-    """A judge's JSON as (label, confidence, role, quote); null unless label is -1, 0, 1 and confidence in [0, 1]."""
-    parsed = F.from_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "label int, confidence double, hint_role string, hint_quote string")
+    """A judge's reply as (label, confidence, role, quote, reasoning), from its first JSON object.
+
+    Null unless the label is the whole number -1, 0 or 1, as a number (cut to whole) or as digits in a string, and the confidence in [0, 1].
+    A role that is none of the known ones and an empty quote are null and reject nothing.
+    """
+    found = first_json_object(raw)
+    parsed = F.from_json(found, "label string, confidence string, hint_role string, hint_quote string, reasoning string", {"allowSingleQuotes": "false"})
+    quoted = lambda name: found.rlike(rf'"{name}"\s*:\s*"')
+    said = F.trim(parsed["label"])
+    label = F.when(quoted("label"), F.expr("NULL")).otherwise(F.when(said.rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"), said.try_cast("double").cast("int")))
+    label = F.coalesce(label, F.when(quoted("label") & said.rlike(r"^[+-]?[0-9]{1,9}$"), said.try_cast("int")))
+    sure = F.when(~quoted("confidence") & (parsed["confidence"] == "true"), 1.0).when(~quoted("confidence") & (parsed["confidence"] == "false"), 0.0).otherwise(parsed["confidence"].try_cast("double"))
     role = F.translate(F.lower(F.trim(parsed["hint_role"])), "- ", "__")
     role = F.when(role.isin("none", "neutral", "verification_only", "rejected", "credited"), role)
-    quote = F.when(~F.lower(F.trim(parsed["hint_quote"])).isin("", "null", "none"), F.trim(parsed["hint_quote"]))
-    good = parsed["label"].isin(-1, 0, 1) & parsed["confidence"].between(0.0, 1.0)
-    return F.when(good, F.struct(parsed["label"].alias("label"), parsed["confidence"].alias("confidence"), role.alias("role"), quote.alias("quote")))
+    quote = F.when(quoted("hint_quote") & ~F.lower(F.trim(parsed["hint_quote"])).isin("", "null", "none"), F.trim(parsed["hint_quote"]))
+    good = label.isin(-1, 0, 1) & sure.between(0.0, 1.0)
+    return F.when(good, F.struct(label.alias("label"), sure.alias("confidence"), role.alias("role"), quote.alias("quote"), F.coalesce(parsed["reasoning"], F.lit("")).alias("reasoning")))
 
 
 def verdict(label: Column, error: Column) -> Column:
@@ -156,13 +252,21 @@ def stable_seed(*parts: Column) -> Column:
     return F.crc32(F.concat_ws("|", *parts)).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
+def folded(text: Column) -> Column:
+    """A text as compared without case: lower case, long and final letters and ligatures as their plain ones."""
+    out = F.translate(F.lower(text), *FOLD_ONE)
+    for one, many in FOLD_MANY.items():
+        out = F.replace(out, F.lit(one), F.lit(many))
+    return out
+
+
 def option_text(said: Column) -> Column:
-    """An option's text as compared: single spaces, lower case, no punctuation at the end."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(said, r"\s+", " "))), r"""[ .;:,!?"']+$""", "")
+    """An option's text as compared: single spaces, without case, no punctuation at the end (fixed: space . ; : , ! ? " ')."""
+    return F.regexp_replace(folded(F.trim(F.regexp_replace(said, r"\s+", " "))), r"""[ .;:,!?"']+$""", "")
 
 
 def contradicts(letter: Column, said: Column, choices: Column) -> Column:
     """Whether the text beside a letter names exactly one option, and another one than the letter's."""
-    named = F.transform(choices, option_text)
-    hits = F.filter(F.sequence(F.lit(0), F.size(choices) - 1), lambda i: F.get(named, i) == option_text(said))
-    return (option_text(said) != "") & (F.size(hits) == 1) & (F.char(F.get(hits, F.lit(0)) + 65) != F.upper(letter)) & (F.size(choices) > 0)
+    spoken = option_text(said)
+    hits = F.filter(F.transform(choices, lambda c, i: F.struct(option_text(c).alias("t"), i.alias("i"))), lambda x: x["t"] == spoken)
+    return (spoken != "") & (F.size(hits) == 1) & (F.char(F.get(hits, F.lit(0))["i"] + 65) != F.upper(letter))

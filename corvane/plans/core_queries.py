@@ -691,41 +691,11 @@ def unit_hash(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", stats.unit_hash(F.lit("42"), F.col("o_orderkey")).alias("u"))
 
 
-ANSWERS = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN '<think>a' || o_custkey || '</think><answer>B</answer>' WHEN 1 THEN '<think>cut off' WHEN 2 THEN '<think>x</think><answer>(C) text</answer>' WHEN 3 THEN '<think>"</think>" quoted</think>{"answer": "D"}'
- WHEN 4 THEN '<think>y</think>\\boxed{\\text{A}}' ELSE 'no marks <answer>A</answer>' END AS t FROM orders"""
-
-
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = ["<think>x</think><answer>(C) text</answer>", '<think>"</think>" quoted</think>{"answer": "D"}', "<think>y</think>\\boxed{\\text{A}}", "no marks <answer>A</answer>"]
-    k = F.col("o_orderkey") % 6
-    t = F.when(k == 0, F.concat(F.lit("<think>a"), "o_custkey", F.lit("</think><answer>B</answer>"))).when(k == 1, "<think>cut off")
-    for i, f in enumerate(forms, 2):
-        t = t.when(k == i, f)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), t.alias("t"))
-
-
-@query(f"SELECT id, CASE id % 6 WHEN 0 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'A' WHEN 5 THEN 'A' END AS answer FROM ({ANSWERS})")
-def parse_answer(spark, sf_dir):
-    return answers(spark, sf_dir).select("id", text.parse_answer(F.col("t")).alias("answer"))
-
-
-@query(f"""SELECT id, CASE id % 6 WHEN 0 THEN substr(t, 8, strpos(t, '</think>') - 8) WHEN 2 THEN 'x' WHEN 3 THEN '"</think>" quoted' WHEN 4 THEN 'y' ELSE '' END AS cot FROM ({ANSWERS})""")
-def extract_cot(spark, sf_dir):
-    return answers(spark, sf_dir).select("id", text.extract_cot(F.col("t")).alias("cot"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_choices_width(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN user_id % 4 < 3 THEN CAST(user_id % 4 - 1 AS INTEGER) END AS label, CASE WHEN user_id % 4 < 3 THEN 'verification_only' END AS role FROM events""")
-def judge_json(spark, sf_dir):
-    raw = F.concat(F.lit('```json\n{"label": '), F.col("user_id") % 4 - 1, F.lit(', "confidence": 0.5, "hint_role": "Verification-only", "hint_quote": "none"}\n```'))
-    j = text.judgement(raw)
-    return table(spark, sf_dir, "events").select("event_id", j["label"].alias("label"), j["role"].alias("role"))
-
-
 @query("SELECT item_id, 'A) ' || lang || chr(10) || 'B) two' AS options FROM (SELECT item_id, text AS lang FROM benchmark)")
 def option_letters(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")

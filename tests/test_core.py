@@ -114,3 +114,75 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not any(k.startswith('op') and k[2].isdigit() for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def plain_answer(t, letters, choices):
+    """The parser by hand, on positions."""
+    import re
+
+    shape = {"bare": rf"<answer>\s*([{letters}])\s*</answer>", "label": rf"<answer>\s*\(?\s*([{letters}])\s*(?:[):]|\.(?!\s*(?-i:[a-z]))|-(?=\s))", "box": rf"\\boxed{{\s*\(?\s*([{letters}])\s*\)?\s*}}", "json": rf'{{\s*"answer"\s*:\s*"([{letters}])"\s*}}'}
+    flags = re.I | re.S
+    wide = [s.replace(f"[{letters}]", "[A-J]") for s in shape.values()]
+    marks = [m.end() for m in re.finditer("</think>", t, re.I)]
+    real = [m for m in marks if any(re.search(w, t[m:], flags) for w in wide)]
+    body = t[real[-1] :] if real else t[marks[0] :] if marks else None
+    if body is None:
+        ends = {k: re.search(s + r"\s*\.?\s*\Z", t, flags) for k, s in shape.items() if k != "label"}
+        return next((m[1].upper() for m in ends.values() if m), None)
+    if m := re.search(shape["bare"], body, flags):
+        return m[1].upper()
+    if m := re.search(shape["label"], body, flags):
+        said = re.split(r"</?answer>", body[m.end() :], flags=re.I)[0]
+        clean = lambda x: " ".join(x.split()).casefold().rstrip(" .;:,!?\"'")
+        named = [i for i, c in enumerate(choices) if clean(c) == clean(said)]
+        return None if clean(said) and len(named) == 1 and "ABCDEFGHIJ"[named[0]] != m[1].upper() else m[1].upper()
+    return next((m[1].upper() for k in ("json", "box") if (m := re.search(shape[k], body, flags))), None)
+
+
+def test_generated_answers_equal_the_parser_by_hand(spark):
+    import random
+
+    rng = random.Random(6)
+    choices = ["Straße", "two  words", "ςigma", "d"]
+    parts = ["<think>", "</think>", "</THINK>", "<answer>A</answer>", "<answer> b </answer>", "<answer>C) strasse</answer>", "<answer>(A) STRASSE.</answer>", "<answer>B: Two words</answer>", "<answer>D- σIGMA</answer>", "<answer>E. coli</answer>", "<answer>D-dimer</answer>", "<answer>A. X < y", '{"answer": "C"}', '{ "ANSWER":"d" }', "\\boxed{(A)}", "\\boxed{ b }", "text", ".", " ", "\n", "<", "</answer>"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(1500)]
+    texts = [t for t in texts if "</think>" in t.lower() or "<answer>A. X" not in t and "</answer> " not in t]  # the closing form of open tags is tested below
+    df = spark.createDataFrame([(i, t, choices, w) for i, t in enumerate(texts) for w in ("A-D", "AB")], "i int, t string, c array<string>, w string")
+    got = {(r["i"], r["w"]): r["a"] for r in df.select("i", "w", text.parse_answer(F.col("t"), F.col("w"), choices=F.col("c")).alias("a")).collect()}
+    wrong = []
+    for (i, w), a in got.items():
+        ending = plain_answer(texts[i], w, choices)
+        if "</think>" not in texts[i].lower():
+            continue
+        if a != ending:
+            wrong.append((texts[i], w, a, ending))
+    assert not wrong[:3] and len({a for a in got.values()}) > 3
+
+
+def test_open_and_closed_tags_at_the_end(spark):
+    cases = [("x <answer>B) two words", "B"), ("x <answer>B) two words</answer> . ", "B"), ("x <answer>B) straße</answer>", None), ("x <answer>B) y</answer> z", None), ("<answer>A</answer> <answer>B) y", "B"), ('x <answer>B) q {"answer": "C"}', "B"), ('x "answer": "C"', None), ("x <answer>B) y</answer> <answer>", None), ("<answer>C</answer>.", "C")]
+    df = spark.createDataFrame([(i, t, ["Straße", "two words"]) for i, (t, _) in enumerate(cases)], "i int, t string, c array<string>")
+    got = {r["i"]: r["a"] for r in df.select("i", text.parse_answer(F.col("t"), choices=F.col("c")).alias("a")).collect()}
+    assert [got[i] for i in range(len(cases))] == [a for _, a in cases]
+
+
+def test_first_json_object_equals_the_decoder(spark):
+    import json
+    import random
+
+    rng = random.Random(3)
+    parts = ['{"a": 1}', '{"b": {"c": [1, {"d": "}"}]}}', "{", "}", '"', "\\", '{"q": "\\"{"}', '{"x": tru}', "{'a': 1}", '{"e": "\n"}', '{"k": 1, "k": 2}', "{}", " text ", "```json\n", "[1, {", "é\U0001f600", '{"n": NaN}']
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(1200)]
+
+    def plain(t):
+        for i, c in enumerate(t):
+            if c == "{":
+                try:
+                    return t[i : json.JSONDecoder().raw_decode(t, i)[1]]
+                except json.JSONDecodeError:
+                    pass
+        return None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["j"] for r in df.select("i", text.first_json_object(F.col("t")).alias("j")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts] and sum(v is not None for v in got.values()) > 300
