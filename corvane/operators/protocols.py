@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.stats import rate, wilson
+from corvane.operators import joins
+from corvane.operators.manifest import present
 
 ROLES = ("none", "neutral", "verification_only", "rejected", "credited")
 
@@ -138,3 +140,42 @@ def served_call(calls: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame
     ranked = calls.join(used, keys, "left").groupBy(*keys).agg(F.max_by(F.struct("seq", "label"), F.struct(match, "seq")).alias("x"), F.count("*").alias("n_calls"))
     served = ranked.select(*keys, F.col("x.seq").alias("served_seq"), F.col("x.label").alias("served_label"), "n_calls")
     return used.join(served, keys, "full").fillna(0, ["n_calls"])
+
+
+#: Columns in which two sources of a stitch must agree: (name, of the source, of the manifest).
+AGREE = (("target", "bin_target", "target_option"), ("final_answer", "bin_final_answer", "model_answer"), ("binary_groundtruth", "bin_groundtruth", "groundtruth"), ("groundtruth", "bl_groundtruth", "groundtruth"), ("modal", "bl_modal_answer", "baseline_modal_answer"))
+
+
+def stitch(rows: DataFrame, binary: DataFrame, baseline: DataFrame, reliance: DataFrame, *, row: list[str], question: list[str], pair: list[str]) -> DataFrame:
+    """Manifest rows with the binary judge (1:1 by ``row``), the baseline (m:1 by ``question``) and the reliance of their pair (m:1 by ``pair``).
+
+    A key that breaks these rules fails the job.  in_manifest, in_binary and in_baseline say where a row comes from, and binary
+    rows without a manifest row stay, so that ``stitch_checks`` can count all of it in one pass; keep rows with in_manifest.
+    """
+    b = binary.withColumn("in_binary", F.lit(True))
+    q = baseline.withColumn("in_baseline", F.lit(True))
+    one = joins.unique(rows, row, "manifest").withColumn("in_manifest", F.lit(True))
+    both = one.join(joins.unique(b, row, "binary"), row, "full")
+    both = joins.checked_join(both, q, question, name="baseline")
+    both = joins.checked_join(both, reliance, pair, name="reliance")
+    return both.fillna(False, ["in_manifest", "in_binary", "in_baseline"])
+
+
+def stitch_checks(stitched: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Counts of rows that lack a source and of values in which sources differ; letters are compared as the manifest compares them."""
+    here = F.col("in_manifest")
+    differ = lambda a, b: F.count_if(here & ~present(F.col(a)).eqNullSafe(present(F.col(b))))
+    return stitched.groupBy(*keys).agg(
+        F.count_if(here).alias("manifest_rows"),
+        F.count_if(here & ~F.col("in_binary")).alias("missing_in_binary"),
+        F.count_if(here & ~F.col("in_baseline")).alias("missing_in_baseline"),
+        F.count_if(~here).alias("binary_rows_not_in_manifest"),
+        *[differ(a, b).alias(f"mismatch_{name}") for name, a, b in AGREE],
+    )
+
+
+def assert_stitched(checks: DataFrame) -> None:
+    """Raises if any row of the checks, which are few, counts anything but manifest rows."""
+    bad = [{k: v for k, v in r.asDict().items() if k.startswith(("missing", "mismatch", "binary_rows")) and v} for r in checks.collect()]
+    if any(bad):
+        raise ValueError(f"sources don't fit: {[b for b in bad if b]}")

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.stats import unit_hash
+from corvane.operators import joins
 
 
-def question_splits(df: DataFrame, seed: int, fractions: tuple[float, float] = (0.70, 0.15)) -> DataFrame:
-    """(question_id, signature, split): train, val, test within each signature (the question's models).
+def question_splits(df: DataFrame, seed: int, fractions: tuple[float, float] = (0.70, 0.15), strata: tuple[str, ...] = ("subject_model",)) -> DataFrame:
+    """(question_id, signature, split): train, val, test within each signature (the cells of ``strata`` that a question's rows are in).
 
     Questions of a signature are ranked by hash; the rank, moved by an offset that is the signature's own hash, is cut.
     A signature's questions may be many, so ranks come from counts of hash cells plus places within a cell.
     """
-    q = df.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("subject_model")), "|").alias("signature"))
+    if min(fractions) < 0 or sum(fractions) > 1:
+        raise ValueError(f"fractions {fractions} are no shares of train and val")
+    q = df.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", *strata))), "|").alias("signature"))
     q = q.withColumn("h", unit_hash(F.lit(str(seed)), F.col("question_id")))
     q = q.withColumn("cell", F.floor(F.col("h") * 1024).cast("int"))
     cells = q.groupBy("signature", "cell").agg(F.count("*").alias("c"))
@@ -27,6 +30,44 @@ def question_splits(df: DataFrame, seed: int, fractions: tuple[float, float] = (
     return q.select("question_id", "signature", split.alias("split"))
 
 
+def one_split(rows: DataFrame) -> DataFrame:
+    """(question_id, split) of the rows that have one; a question in two splits fails the job."""
+    q = rows.where("split is not null").groupBy("question_id").agg(F.min("split").alias("split"), F.max("split").alias("_last"))
+    return joins.required(q, F.col("split") == F.col("_last"), F.concat(F.lit("question in several splits: "), F.coalesce(F.col("question_id").cast("string"), F.lit("null")))).drop("_last")
+
+
+def assign_splits(rows: DataFrame, seed: int, *, fractions: tuple[float, float] = (0.70, 0.15), strata: tuple[str, ...] = ("hint_style", "case"), force: bool = False, extend: bool = False) -> DataFrame:
+    """``rows`` with split filled in by question.
+
+    Rows that have a split already are an error, unless ``force`` draws all questions anew or ``extend`` keeps every question that has
+    one and draws the others, ranked and stratified among themselves.  So no old question ever moves, and a question's
+    new rows follow its old ones.
+    """
+    has = "split" in rows.columns
+    if has and not force and not extend and not rows.where("split is not null").isEmpty():
+        raise ValueError("rows have a split already; force draws all anew, extend only what has none")
+    if not has or not extend:
+        drawn = question_splits(rows, seed, fractions, strata).drop("signature")
+        return rows.drop("split").join(drawn, "question_id", "left")
+    taken = one_split(rows)
+    todo = rows.join(taken, "question_id", "left_anti")
+    both = taken.unionByName(question_splits(todo, seed, fractions, strata).drop("signature"))
+    return rows.drop("split").join(both, "question_id", "left").select(*rows.columns)
+
+
+def carry_over(new: DataFrame, previous: DataFrame) -> DataFrame:
+    """``new`` with the splits that ``previous`` gave its questions; others stay null.  A ``previous`` without a split column changes nothing."""
+    if "split" not in previous.columns:
+        return new
+    return new.drop("split").join(one_split(previous), "question_id", "left")
+
+
+def carry_report(carried: DataFrame) -> DataFrame:
+    """One row: rows and questions that carried a split over, and rows without one."""
+    has = F.col("split").isNotNull()
+    return carried.agg(F.count_if(has).alias("n_carried"), F.count_distinct(F.when(has, F.col("question_id"))).alias("n_questions_carried"), F.count_if(~has).alias("n_unassigned"))
+
+
 def split_report(rows: DataFrame) -> DataFrame:
     """Rollouts, questions and labels per split, and in all (null split)."""
     return rows.rollup("split").agg(F.count("*").alias("n_rollouts"), F.countDistinct("question_id").alias("n_questions"), F.count_if(F.col("judge_label") == 0).alias("n_label0"))
