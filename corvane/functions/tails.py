@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,124 @@ def upper_gamma(a: Column, x: Column) -> Column:
     return F.when(a > 0, F.when(x <= 0, one).otherwise(value))
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def beta_tail(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b): 0 up to x = 0, 1 from 1 on, null where a or b is not positive.
+
+    The continued fraction, on the side of the mean where it converges fast; as many terms as the parameters' size needs.
+    """
+    a, b, x = (c.cast("double") for c in (a, b, x))
+    inside = F.struct(a.alias("a"), b.alias("b"), x.alias("x"))
+
+    def value(s: Column) -> Column:
+        a, b, x = s["a"], s["b"], s["x"]
+        low = x < (a + 1) / (a + b + 2)
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+        side = F.when(low, F.struct(a.alias("p"), b.alias("q"), x.alias("z"))).otherwise(F.struct(b.alias("p"), a.alias("q"), (1 - x).alias("z")))
+        part = _bind(side, lambda t: front * _beta_fraction(t["p"], t["q"], t["z"]) / t["p"])
+        return F.when(low, part).otherwise(1 - part)
+
+    known = (a > 0) & (b > 0) & x.isNotNull()
+    return F.when(known, F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(_bind(inside, value)))
+
+
+def _beta_fraction(p: Column, q: Column, z: Column) -> Column:
+    """1 / (1 + d1 / (1 + d2 / (1 + ...))) of the incomplete beta function, worked off from its far end."""
+    terms = (40 + 3 * F.ceil(F.sqrt(F.greatest(p, q)))).cast("int")
+
+    def step(tail: Column, k: Column) -> Column:
+        n = (terms - k + 1).cast("double")  # pairs of coefficients, last first
+        even = n * (q - n) * z / ((p + 2 * n - 1) * (p + 2 * n))
+        odd = -(p + n - 1) * (p + q + n - 1) * z / ((p + 2 * n - 2) * (p + 2 * n - 1))
+        return 1 + odd / (1 + even / tail)
+
+    return 1 / F.aggregate(F.sequence(F.lit(1), terms), F.lit(1.0), step)
+
+
+def beta_quantile(share: Column, a: Column, b: Column) -> Column:
+    """The x at which I_x(a, b) is ``share``: Newton's steps inside a bracket that every step narrows; null where a or b is not positive or share outside [0, 1]."""
+    given = F.struct(share.cast("double").alias("u"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+
+    def solved(g: Column) -> Column:
+        u, a, b = g["u"], g["a"], g["b"]
+        norm = log_gamma(a + b) - log_gamma(a) - log_gamma(b)
+        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), (a / (a + b)).alias("x"), F.lit(False).alias("done"))
+
+        def step(s: Column, _: Column) -> Column:
+            def moved(f: Column) -> Column:
+                lo, hi = F.when(f < 0, s["x"]).otherwise(s["lo"]), F.when(f < 0, s["hi"]).otherwise(s["x"])
+                slope = F.exp(norm + (a - 1) * F.log(s["x"]) + (b - 1) * F.log(1 - s["x"]))
+                newton = s["x"] - F.try_divide(f, slope)
+                inner = F.coalesce((newton > lo) & (newton < hi), F.lit(False))
+                x = F.when(inner, newton).otherwise((lo + hi) / 2)
+                return F.struct(lo.alias("lo"), hi.alias("hi"), x.alias("x"), ((f == 0) | (F.abs(x - s["x"]) <= 1e-16 + 1e-15 * s["x"])).alias("done"))
+
+            return F.when(s["done"], s).otherwise(_bind(beta_tail(a, b, s["x"]) - u, moved))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["x"])
+
+    known = (a > 0) & (b > 0) & share.between(0.0, 1.0)
+    return F.when(known, F.when(share == 0, 0.0).when(share == 1, 1.0).otherwise(_bind(given, solved)))
+
+
+def jeffreys_interval(k: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
+    """The bounds of a share of k in n under Jeffreys' prior; null where n is 0."""
+    tail = (1 - level) / 2
+    low, high = (F.when(n > 0, beta_quantile(F.lit(t), k + 0.5, n - k + 0.5)) for t in (tail, 1 - tail))
+    return low, high
+
+
+def _beta_quantiles(u: np.ndarray, a: float, b: float) -> np.ndarray:
+    """``beta_quantile`` of many shares under one pair of parameters, by halving."""
+    norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+
+    def tail(x: np.ndarray) -> np.ndarray:
+        low = x < (a + 1) / (a + b + 2)
+        p, q, z = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1 - x)
+        end = np.ones_like(x)
+        for n in range(40 + 3 * math.ceil(math.sqrt(max(a, b))), 0, -1):
+            even = n * (q - n) * z / ((p + 2 * n - 1) * (p + 2 * n))
+            end = 1 - (p + n - 1) * (p + q + n - 1) * z / ((p + 2 * n - 2) * (p + 2 * n - 1)) / (1 + even / end)
+        part = np.exp(norm + a * np.log(x) + b * np.log1p(-x)) / (p * end)
+        return np.where(low, part, 1 - part)
+
+    lo, hi = np.zeros_like(u), np.ones_like(u)
+    for _ in range(44):
+        mid = (lo + hi) / 2
+        under = tail(mid) < u
+        lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
+    return (lo + hi) / 2
+
+
+def ratio_interval(n: Column, k: Column, other: Column, options: Column, key: Column, draws: int = 2000, level: float = 0.95) -> Column:
+    """(low, high) of min(1, q / ((options - 2) p)), p the share of k and q that of ``other`` in n, from draws of both Jeffreys posteriors.
+
+    Draws are the posteriors' quantiles at numbers that ``key`` seeds, so that they depend on nothing else.  Null
+    where n or k is 0 or options are two or fewer; with ``other`` 0 the upper bound is still above 0.
+    """
+    tail = 100 * (1 - level) / 2
+
+    @F.pandas_udf("low double, high double")
+    def drawn(n: pd.Series, k: pd.Series, other: pd.Series, options: pd.Series, key: pd.Series) -> pd.DataFrame:
+        rows = []
+        for n_, k_, o_, m_, name in zip(n, k, other, options, key, strict=True):
+            if not (n_ > 0 and k_ > 0 and m_ > 2):
+                rows.append((None, None))
+                continue
+            rng = np.random.default_rng(int.from_bytes(hashlib.sha256(str(name).encode()).digest()[:8], "big"))
+            p, q = (_beta_quantiles(rng.random(draws), c + 0.5, n_ - c + 0.5) for c in (k_, o_))
+            x = np.minimum(1.0, q / ((m_ - 2) * p))
+            rows.append((float(np.percentile(x, tail)), float(np.percentile(x, 100 - tail))))
+        return pd.DataFrame(rows, columns=["low", "high"])
+
+    made = drawn(n, k, other, options, key)
+    return F.when((n > 0) & (k > 0) & (options > 2), made)
+
+
 def chi2_tail(x: Column, df: Column) -> Column:
     """The probability that a chi-square variable of ``df`` degrees exceeds x."""
     return upper_gamma(df / F.lit(2.0), x / F.lit(2.0))

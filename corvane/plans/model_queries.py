@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import text
-from corvane.operators import models
-from corvane.plans.adapters import table
-from corvane.plans.core_queries import STOP, STOP_SQL, query, rounded
+from corvane.functions import tails, text
+from corvane.operators import batches, models
+from corvane.plans.adapters import ROLLOUTS, rollouts, table
+from corvane.plans.core_queries import STOP, STOP_SQL, base, query, rounded
 
 FOLDS = ["0", "1", "2"]
 MAX_FEATURES, MIN_DF = 300, 3
@@ -94,3 +94,37 @@ def probe_ensemble(spark, sf_dir):
     """(doc_id, score, n_folds): the mean score of the folds' text probes for every labelled document."""
     x, fitted = text_probe(spark, sf_dir)
     return rounded(models.ensemble(fitted.predict(x, ["doc_id"]), "doc_id"), "score")
+
+
+# ---------------------------------------------------------------- batches and posterior intervals
+
+MOST_TOKENS, MOST_ROWS, BUCKETS = 20_000, 8, 8
+
+
+@query(
+    f"""WITH RECURSIVE r AS ({ROLLOUTS}), o AS (SELECT rollout_id, trace_token_len AS len, row_number() OVER (ORDER BY sha256('5:' || rollout_id), rollout_id) - 1 AS place FROM r),
+s AS (SELECT *, place // {MOST_ROWS * BUCKETS} AS chunk FROM o), t AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY len, place) AS k FROM s),
+w AS (SELECT chunk, k, rollout_id, len, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS n FROM t WHERE k = 1 UNION ALL
+SELECT t.chunk, t.k, t.rollout_id, t.len, CASE WHEN w.n + 1 > {MOST_ROWS} OR (w.n + 1) * t.len > {MOST_TOKENS} THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.n + 1 > {MOST_ROWS} OR (w.n + 1) * t.len > {MOST_TOKENS} THEN 1 ELSE w.n + 1 END
+FROM w JOIN t ON t.chunk = w.chunk AND t.k = w.k + 1)
+SELECT rollout_id, chunk, batch, count(*) OVER b AS batch_rows, CAST(count(*) OVER b * max(len) OVER b AS BIGINT) AS padded FROM w WINDOW b AS (PARTITION BY chunk, batch)"""
+)
+def token_batches(spark, sf_dir):
+    r = rollouts(spark, sf_dir).select("rollout_id", "trace_token_len")
+    return batches.token_batches(r, "rollout_id", "trace_token_len", most_tokens=MOST_TOKENS, most_rows=MOST_ROWS, buckets=BUCKETS, seed=5).drop("trace_token_len")
+
+
+def alpha_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = base(spark, sf_dir).where("exclude_reason is null")
+    return clean.groupBy("subject_model", "dataset", "hint_style", "n_options").agg(F.count("*").alias("n"), F.count_if("to_hint").alias("k"), F.count_if(F.col("changed") & ~F.col("to_hint")).alias("other"))
+
+
+@query()
+def posterior_intervals(spark, sf_dir):
+    """(cell, n, k, other, p_low, p_high, x_low, x_high): Jeffreys bounds of the share that follows the cue, and of the noise it leaves, by draws of both posteriors."""
+    # few rows with much work each: dealt by number, which adaptive execution leaves alone
+    g = alpha_counts(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "subject_model", "dataset", "hint_style")
+    low, high = tails.jeffreys_interval(F.col("k"), F.col("n"))
+    x = tails.ratio_interval(F.col("n"), F.col("k"), F.col("other"), F.col("n_options"), F.concat_ws("|", "subject_model", "dataset", "hint_style"))
+    g = g.withColumns({"p_low": low, "p_high": high, "x": x})
+    return rounded(g.withColumns({"x_low": F.col("x.low"), "x_high": F.col("x.high")}).drop("x", "n_options"), "p_low", "p_high", "x_low", "x_high")
