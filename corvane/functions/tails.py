@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def log_gamma(a: Column) -> Column:
     """The logarithm of the gamma function of a positive number: Stirling's series ten places up, stepped back down."""
     z = a + 10
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
     product = a
     for k in range(1, 10):
         product = product * (a + k)
@@ -104,9 +104,14 @@ def beta_quantile(share: Column, a: Column, b: Column) -> Column:
                 newton = s["x"] - F.try_divide(f, slope)
                 inner = F.coalesce((newton > lo) & (newton < hi), F.lit(False))
                 x = F.when(inner, newton).otherwise((lo + hi) / 2)
-                return F.struct(lo.alias("lo"), hi.alias("hi"), x.alias("x"), ((f == 0) | (F.abs(x - s["x"]) <= 1e-16 + 1e-15 * s["x"])).alias("done"))
+                return F.struct(lo.alias("lo"), hi.alias("hi"), x.alias("x"), (F.abs(x - s["x"]) <= 1e-15 * s["x"]).alias("done"))
 
-            return F.when(s["done"], s).otherwise(_bind(beta_tail(a, b, s["x"]) - u, moved))
+            def judged(f: Column) -> Column:
+                # beyond this the tail's own rounding decides
+                there = F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), s["x"].alias("x"), F.lit(True).alias("done"))
+                return F.when(F.abs(f) <= 2e-12 * u, there).otherwise(moved(f))
+
+            return F.when(s["done"], s).otherwise(_bind(beta_tail(a, b, s["x"]) - u, judged))
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["x"])
 

@@ -75,7 +75,7 @@ def test_beta_tail_and_quantile_equal_plain_forms(spark):
         if r["a"] % 1 and r["x"] < 1:
             assert abs(plain_tail(r["a"], r["b"], r["x"]) - r["u"]) < 1e-9, r
     uniform = [r["x"] for r in out.where("a = 1 and b = 1").orderBy("u").collect()]
-    assert all(abs(x - u) < 1e-12 for x, u in zip(uniform, (1e-6, 0.025, 0.4, 0.975), strict=True))
+    assert all(abs(x - u) < 1e-11 for x, u in zip(uniform, (1e-6, 0.025, 0.4, 0.975), strict=True))
     arcsine = {r["u"]: r["x"] for r in out.where("a = 0.5 and b = 0.5").collect()}
     assert all(abs(x - math.sin(math.pi * u / 2) ** 2) < 1e-9 for u, x in arcsine.items())
 
