@@ -5,7 +5,8 @@ Texts and templates are sequences of lower-case alphanumeric words.  Of a templa
 hash to (template, place).  A document's hashes that are in the index vote for (template, diagonal); a vote
 that no earlier alignment of the template explains is a candidate, which a sequence alignment through the vote's place, within
 ``band`` words of its diagonal, scores.  A match reports the template, the part of its words that are aligned to equal ones, and
-the span of the text they cover, in code points.  Of templates that match nearly the same span, such as two versions of one
+the span of the text they cover, in code points.  Templates of fewer than ``EXACT`` words match word for word only, and notices of
+licences that differ in a name or a number must hold theirs (``TELLING``).  Of templates that match nearly the same span, such as two versions of one
 licence, the best covered is reported.
 
 The templates are a parameter; the index is as large as they are and travels with the tasks.
@@ -95,7 +96,7 @@ TEMPLATES = {
         "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
         "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
-    "BSD-notice": _BSD,
+    "BSD-part": _BSD,
     "BSD-2-Clause-text": _BSD + _BSD_BINARY + _BSD_WARRANTY,
     "BSD-3-Clause-text": _BSD + _BSD_BINARY + _BSD_NAMES + _BSD_WARRANTY,
     "ISC-text": (
@@ -106,12 +107,12 @@ TEMPLATES = {
         "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
         "SOFTWARE."
     ),
-    "Unlicense-text": (
+    "Unlicense-part": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
         "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
         "means."
     ),
-    "Zlib-text": (
+    "Zlib-part": (
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
         "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
         "applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be "
@@ -124,6 +125,19 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
 }
 GRAM, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.8
+#: Templates of fewer words are matched as they stand: with one word changed or put in, they name another licence or none.
+EXACT = 15
+#: Words in a row that a match must hold, as they tell a licence from its neighbours.
+TELLING = {
+    "Apache-2.0-notice": ("apache license", "version 2 0"),
+    "GPL-2.0-notice": ("gnu general public license", "version 2 of the license"),
+    "GPL-3.0-notice": ("gnu general public license", "version 3 of the license"),
+    "LGPL-2.1-notice": ("gnu lesser general public license", "version 2 1 of the license"),
+    "LGPL-3.0-notice": ("gnu lesser general public license", "version 3 of the license"),
+    "AGPL-3.0-notice": ("gnu affero general public license", "version 3 of the license"),
+    "MPL-2.0-notice": ("mozilla public license", "2 0"),
+    "Unlicense-part": ("public domain",),
+}
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -196,6 +210,15 @@ class Scanner:
             for at in {min(range(i, i + span), key=lambda x: (hashes[x], x)) for i in range(len(hashes) - span + 1)}:
                 self.index.setdefault(hashes[at], []).append((t, at))
         self.lengths = sorted({min(gram, len(s)) for s in self.words if len(s)})
+        self.telling = [[np.array([self.vocabulary.get(w, -2) for w in p.split()], np.int64) for p in TELLING.get(name, ())] for name in self.names]
+
+    def tells(self, t: int, part: np.ndarray) -> bool:
+        """Whether a part of a text, as word numbers, holds all phrases that tell template ``t``."""
+        for phrase in self.telling[t]:
+            k = len(phrase)
+            if len(part) < k or not (np.lib.stride_tricks.sliding_window_view(part, k) == phrase).all(axis=1).any():
+                return False
+        return True
 
     @staticmethod
     def hash(ids) -> int:
@@ -223,18 +246,20 @@ class Scanner:
         found = []
         for t, seen in votes.items():
             seq, explained = self.words[t], set()
+            need = 1.0 if len(seq) < EXACT else self.coverage
             own = np.bincount(seq, minlength=len(self.vocabulary) + 1)
             for at, place, k in seen:
                 if (place, at) in explained:
                     continue
                 # no alignment covers more of the template than has a like word in reach
                 reach = ids[max(0, at - place - self.band) : at - place + len(seq) + self.band]
-                if np.minimum(own, np.bincount(reach + 1, minlength=len(own) + 1)[1:]).sum() < self.coverage * len(seq):
+                if np.minimum(own, np.bincount(reach + 1, minlength=len(own) + 1)[1:]).sum() < need * len(seq):
                     continue
                 pairs = align_through(seq, ids, at, place, k, self.band)
                 explained.update(pairs)
                 share = len(pairs) / len(seq)
-                if share >= self.coverage:
+                spread = pairs[-1][1] - pairs[0][1] + 1
+                if share >= need and (len(seq) >= EXACT or spread == len(seq)) and self.tells(t, ids[pairs[0][1] : pairs[-1][1] + 1]):
                     fit = len(pairs) / max(len(seq), pairs[-1][1] - pairs[0][1] + 1)
                     found.append((self.names[t], share, where[pairs[0][1]][0], where[pairs[-1][1]][1], fit))
         return self.select(found)
