@@ -7,7 +7,9 @@ What the page itself marks as no article is not classified at all: navigation, h
 form elements, and elements whose class, id or role names an advert, a notice, a comment
 section and so on (whole names; never the page, its body or its main element).  Where an article or main element holds
 most of the text, only blocks inside it are candidates, and boilerplate needs evidence; elsewhere main text needs
-it: stop words, or where a page has hardly any of those known, length and few links.
+it: stop words, or where a page has hardly any of those known, length and few links.  Paragraphs of medium length count
+together with those next to them.  Within an article a row of links alone is a menu, a linked heading or line is not, and
+elements of doubtful names (search, meta, legal and so on) keep what reads as prose.
 
 A header inside an article is no part of its text either.
 
@@ -68,32 +70,50 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.IGNORECASE) for t in RAW_TAGS}
 SPACES = re.compile(r"\s+")
 
+#: Names that shut an element out, but not within an article, where its blocks need evidence instead.
+DOUBTFUL_NAMES = re.compile(r"(?:^|\s)(?:search\w*|meta|legal|side|login|signup|header|footer)(?:$|\s)", re.IGNORECASE)
+
 SHORT, LONG = 70, 200
+#: So many blocks of links alone in a row are a menu, also within an article.
+MENU = 3
+#: From here on, characters of writing without spaces, each of which says as much as three of an alphabet.
+WIDE = "\u2e80"
 STOP_LOW, STOP_HIGH = 0.10, 0.16
 LINKS_HIGH = 0.33
 
 
-def _outside(tag: str, attributes: str, remarks: bool) -> bool:
+def _outside(tag: str, attributes: str, remarks: bool, inside: bool = False) -> bool | None:
+    """Whether an element is shut out; None within an article where only a doubtful name says so."""
     if tag in OUTSIDE_TAGS:
         return True
+    doubtful = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if tag == "article" and remarks and name in ("class", "id") and REMARK_NAMES.search(value):
             return True
-        if name in ("class", "id") and tag not in CONTENT_TAGS and OUTSIDE_NAMES.search(value) or name == "role" and value.lower() in OUTSIDE_ROLES:
+        if name == "role" and value.lower() in OUTSIDE_ROLES:
             return True
+        if name in ("class", "id") and tag not in CONTENT_TAGS and OUTSIDE_NAMES.search(value):
+            if not inside or OUTSIDE_NAMES.search(DOUBTFUL_NAMES.sub(" ", value)):
+                return True
+            doubtful = True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
-    return False
+    return None if doubtful else False
 
 
 class Block:
-    __slots__ = ("text", "links", "inside", "heading", "label")
+    __slots__ = ("text", "links", "inside", "heading", "doubtful", "label")
+
+    def __init__(self, text: str, links: int, inside: bool, heading: bool, doubtful: bool = False) -> None:
+        self.text, self.links, self.inside, self.heading, self.doubtful, self.label = text, links, inside, heading, doubtful, ""
 
-    def __init__(self, text: str, links: int, inside: bool, heading: bool) -> None:
-        self.text, self.links, self.inside, self.heading, self.label = text, links, inside, heading, ""
+    @property
+    def size(self) -> int:
+        """The text's length, in which a character of writing without spaces counts three."""
+        return len(self.text) + (0 if self.text.isascii() else 2 * sum(c >= WIDE for c in self.text))
 
 
 def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
@@ -104,8 +124,9 @@ def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements: tag, whether it excludes
-    shut = articles = links = headings = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, whether it excludes, whether it is doubtful
+    opened: dict[str, int] = {}  # open elements by tag, so that a closing tag without one costs nothing
+    shut = articles = links = headings = doubts = 0
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -113,14 +134,16 @@ def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
         if parts:
             text = SPACES.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                found.append(Block(text, min(linked, len(text)), articles > 0, headings > 0))
+                found.append(Block(text, min(linked, len(text)), articles > 0, headings > 0, doubts > 0))
         parts, linked = [], 0
 
     def close(upto: int) -> None:
-        nonlocal shut, articles, links, headings
+        nonlocal shut, articles, links, headings, doubts
         while len(stack) > upto:
-            tag, excludes = stack.pop()
+            tag, excludes, doubtful = stack.pop()
+            opened[tag] -= 1
             shut -= excludes
+            doubts -= doubtful
             articles -= tag in ("article", "main")
             links -= tag == "a"
             headings -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -144,6 +167,8 @@ def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
         if tag in BLOCK_TAGS:
             flush()
         if closing:
+            if not opened.get(tag):
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -157,9 +182,11 @@ def blocks_of(page: str, remarks: bool = True) -> tuple[list[Block], bool]:
             continue
         while stack and stack[-1][0] in CLOSED_BY.get(tag, ()):
             close(len(stack) - 1)
-        excludes = _outside(tag, attributes, remarks)
-        stack.append((tag, excludes))
-        shut += excludes
+        excludes = _outside(tag, attributes, remarks, articles > 0)
+        stack.append((tag, bool(excludes), excludes is None))
+        opened[tag] = opened.get(tag, 0) + 1
+        shut += bool(excludes)
+        doubts += excludes is None
         articles += tag in ("article", "main")
         links += tag == "a"
         headings += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -178,43 +205,68 @@ def _stops(text: str) -> tuple[int, int]:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words), len(words)
 
 
+def _menus(blocks: list[Block]) -> list[bool]:
+    """Which blocks stand in a row of MENU or more that are links alone, short, and no headings."""
+    alone = [b.links > 0.9 * len(b.text) and b.size < SHORT and not b.heading for b in blocks]
+    out, first = [False] * len(blocks), 0
+    for i in range(len(blocks) + 1):
+        if i == len(blocks) or not alone[i]:
+            if i - first >= MENU:
+                out[first:i] = [True] * (i - first)
+            first = i + 1
+    return out
+
+
 def classify(blocks: list[Block], has_article: bool) -> None:
     """Sets each block's label to good or bad."""
     counts = [_stops(b.text) for b in blocks]
-    prose = [c for b, c in zip(blocks, counts, strict=True) if len(b.text) >= SHORT and b.links <= LINKS_HIGH * len(b.text)]
+    prose = [c for b, c in zip(blocks, counts, strict=True) if b.size >= SHORT and b.links <= LINKS_HIGH * len(b.text)]
     # a page of another language: length and links decide
     foreign = sum(k for k, _ in prose) < STOP_LOW * sum(n for _, n in prose)
-    for b, (k, words) in zip(blocks, counts, strict=True):
+    dense = []
+    for b, (k, words), menu in zip(blocks, counts, _menus(blocks), strict=True):
         stops = k / max(1, words)
         density = b.links / len(b.text)
+        dense.append(density <= LINKS_HIGH and b.size >= SHORT and (stops >= STOP_HIGH or foreign))
         if has_article and not b.inside:
             b.label = "bad"
         elif density > LINKS_HIGH:
-            b.label = "bad" if not b.inside or density > 0.9 and len(b.text) < SHORT else "near"
+            b.label = "bad" if not b.inside or menu or b.doubtful else "good" if b.heading else "near"
         elif b.inside:
-            b.label = "good" if len(b.text) >= SHORT or b.heading or stops >= STOP_LOW else "short"
-        elif len(b.text) < SHORT:
+            b.label = "good" if dense[-1] or not b.doubtful and (b.size >= SHORT or b.heading or stops >= STOP_LOW) else "bad" if b.doubtful else "short"
+        elif b.size < SHORT:
             b.label = "short"
-        elif stops >= STOP_HIGH or foreign:
-            b.label = "good" if len(b.text) > LONG else "near"
+        elif dense[-1]:
+            b.label = "good" if b.size > LONG else "near"
         else:
             b.label = "near" if stops >= STOP_LOW else "bad"
     n = len(blocks)
+    # paragraphs that are each of medium length decide themselves where they are long together
+    first = 0
+    for i in range(n + 1):
+        if i == n or blocks[i].label == "bad":
+            row = [j for j in range(first, i) if dense[j] and blocks[j].label == "near"]
+            if sum(blocks[j].size for j in row) > LONG:
+                for j in row:
+                    blocks[j].label = "good"
+            first = i + 1
     before, after = [""] * n, [""] * n
     for nearest, order in ((before, range(n)), (after, reversed(range(n)))):
         last = ""
         for i in order:
             nearest[i] = last
             last = blocks[i].label if blocks[i].label in ("good", "bad") else last
-    for b, left, right in zip(blocks, before, after, strict=True):
+    for b, left, right, firm in zip(blocks, before, after, dense, strict=True):
         if b.label in ("short", "near"):
             sides = {left, right} - {""}
             if b.inside:
                 b.label = "bad" if sides == {"bad"} else "good"
             elif len(sides) == 1:
                 b.label = sides.pop()
+            elif b.heading and right == "good":
+                b.label = "good"  # the heading of what follows
             else:
-                b.label = "good" if b.label == "near" and (sides or foreign) else "bad"
+                b.label = "good" if b.label == "near" and (sides or firm) else "bad"
 
 
 def main_text(page: str | None) -> str:
