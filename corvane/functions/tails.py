@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import joins
+
 
 def log_gamma(a: Column) -> Column:
     """The logarithm of the gamma function of a positive number: Stirling's series ten places up, stepped back down."""
@@ -201,9 +203,14 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
 
 
 def pearson(cells: DataFrame, observed: str, expected: str, keys: list[str]) -> DataFrame:
-    """(keys, stat, df, p) of one row per category, with its observed and its expected count."""
+    """(keys, stat, df, p) of one row per category, with its observed and its expected count.
+
+    Counts must have the same total in each group and expectations must be positive: anything else fails the job.
+    """
     gap = F.col(observed) - F.col(expected)
-    g = cells.groupBy(*keys).agg(F.sum(gap * gap / F.col(expected)).alias("stat"), (F.count("*") - 1).alias("df"))
+    bad = F.when(F.min(expected) <= 0, F.lit("an expected count is not positive")).when(F.abs(F.sum(observed) - F.sum(expected)) > 1e-6 * F.greatest(F.lit(1.0), F.sum(expected)), F.lit("observed and expected totals differ"))
+    g = cells.groupBy(*keys).agg(F.sum(F.try_divide(gap * gap, F.col(expected))).alias("stat"), (F.count("*") - 1).alias("df"), bad.alias("_bad"))
+    g = joins.required(g, F.col("_bad").isNull(), F.col("_bad")).drop("_bad")
     return g.withColumn("p", chi2_tail(F.col("stat"), F.col("df")))
 
 

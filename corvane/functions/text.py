@@ -243,8 +243,8 @@ def is_smoke_run(run: Column) -> Column:
 
 
 def joined_id(*parts: Column) -> Column:
-    """An id of parts joined by colons."""
-    return F.concat_ws(":", *parts)
+    """An id of parts joined by colons; a part that is missing is written None, so that it keeps its place."""
+    return F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
 
 
 def stable_seed(*parts: Column) -> Column:

@@ -34,11 +34,11 @@ def outcome(answer: Column, baseline: Column, target: Column) -> Column:
     )
 
 
-def exclude_reason(min_votes: int | None = 1, *, has_marker: Column | None = None, relabelled: Column | None = None, degraded: bool = False) -> Column:
+def exclude_reason(min_votes: int | None = 1, *, has_marker: Column | None = None, relabelled: Column | None = None, degraded: bool | Column = False) -> Column:
     """The first reason that applies, else null; rerolls are never noise flips."""
     marker = F.lit(False) if has_marker is None else has_marker
     again = F.lit(False) if relabelled is None else relabelled
-    reason = F.when(again, "baseline_relabelled").when(F.lit(degraded), "judge_input_degraded").when(F.col("truncated"), "truncated")
+    reason = F.when(again, "baseline_relabelled").when(degraded if isinstance(degraded, Column) else F.lit(degraded), "judge_input_degraded").when(F.col("truncated"), "truncated")
     reason = reason.when(F.col("model_answer").isNull(), F.when(marker, "parse_fail").otherwise("unanswered")).when(F.col("judge_label") == -1, "incoherent")
     if min_votes is not None:
         reason = reason.when(~F.col("is_resample") & F.col("to_hint") & (F.col("baseline_hint_votes") >= min_votes), "noise_flip")

@@ -106,7 +106,7 @@ def balance(rows: DataFrame, label: str, cell: list[str], ratio: float, seed: in
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One hash of a table's lines whatever their order: hashes of 256 hash-prefix groups, then of those.
+    """One hash of a table's lines whatever their order: hashes of 65,536 hash-prefix groups, then of those.
 
     A group's lines are themselves first hashed, and groups are as many as it takes to keep each small.
     """

@@ -265,13 +265,18 @@ FROM rel WHERE role = 'used_candidate' AND reliance_label IS NOT NULL"""
 SURVIVAL_OUT = f"n_labeled, n_robust_used, n_weak_used, n_mixed, round(n_robust_used::DOUBLE / n_labeled, 6) AS survival, {wilson_sql('n_robust_used', 'n_labeled')}"
 
 
-def _survival(keys: list[str]) -> Callable:
+def _survival(name: str, keys: list[str]) -> None:
     names = "".join(f'"{k}", ' for k in keys)
-    return query(WITH_REL + f", g AS (SELECT {names}{SURVIVAL}{' GROUP BY ALL' if keys else ''}) SELECT {names}{SURVIVAL_OUT} FROM g")
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(resample.survival(pairs(base(spark, sf_dir)), keys), "survival", "ci_low", "ci_high")
 
-for _keys, _name in ((["hint_style"], "survival_by_cue"), ([], "survival_pooled"), (["dataset"], "survival_by_dataset"), (["case"], "survival_slice_case"), (["stability_bin"], "survival_vs_stability"), (["subject_model", "case"], "survival_by_model_case")):
-    _survival(_keys)(type(lambda: 0)((lambda spark, sf_dir, keys=_keys: rounded(resample.survival(pairs(base(spark, sf_dir)), keys), "survival", "ci_low", "ci_high")).__code__, globals(), _name, (_keys,)))
+    run.__name__ = name
+    query(WITH_REL + f", g AS (SELECT {names}{SURVIVAL}{' GROUP BY ALL' if keys else ''}) SELECT {names}{SURVIVAL_OUT} FROM g")(run)
+
+
+for _name, _keys in {"survival_by_cue": ["hint_style"], "survival_pooled": [], "survival_by_dataset": ["dataset"], "survival_slice_case": ["case"], "survival_vs_stability": ["stability_bin"], "survival_by_model_case": ["subject_model", "case"]}.items():
+    _survival(_name, _keys)
 
 
 @query(

@@ -62,10 +62,10 @@ def binomial_tail(spark, sf_dir):
     return rounded(g.withColumn("p", tails.binomial_tail(F.col("k"), F.col("n"), F.lit(0.2))), "p")
 
 
-@query(f"SELECT x, df, round({chi2_sql('x', 'df')}, 6) AS p FROM (SELECT unnest(range(0, 400)) / 4.0::DOUBLE AS x) CROSS JOIN (SELECT unnest(range(1, 31)) AS df)")
+@query(f"SELECT o_orderkey, round({chi2_sql('x', 'df')}, 6) AS p FROM (SELECT o_orderkey, o_custkey % 400 / 4.0::DOUBLE AS x, 1 + o_orderkey % 30 AS df FROM orders)")
 def chi2_tail(spark, sf_dir):
-    grid = spark.range(400).select((F.col("id") / 4.0).alias("x")).withColumn("df", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))))
-    return rounded(grid.withColumn("p", tails.chi2_tail(F.col("x"), F.col("df"))), "p")
+    d = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 400 / 4.0).alias("x"), (1 + F.col("o_orderkey") % 30).alias("df"))
+    return rounded(d.select("o_orderkey", tails.chi2_tail(F.col("x"), F.col("df")).alias("p")), "p")
 
 
 @query()  # a pseudo-inverse is beyond SQL; a test holds it against the plain form
