@@ -5,8 +5,8 @@ Texts and templates are sequences of lower-case alphanumeric words.  Of a templa
 hash to (template, place).  A document's hashes that are in the index vote for (template, diagonal); a vote
 that no earlier alignment of the template explains is a candidate, which a sequence alignment through the vote's place, within
 ``band`` words of its diagonal, scores.  A match reports the template, the part of its words that are aligned to equal ones, and
-the span of the text they cover, in code points.  Templates of fewer than ``EXACT`` words match word for word only, and notices of
-licences that differ in a name or a number must hold theirs (``TELLING``).  Of templates that match nearly the same span, such as two versions of one
+the span of the text they cover, in code points.  In templates of fewer than ``EXACT`` words none may be put in or left out, and lines and notices
+of licences that differ in a name or a number must hold theirs (``TELLING``).  Of templates that match nearly the same span, such as two versions of one
 licence, the best covered is reported.
 
 The templates are a parameter; the index is as large as they are and travels with the tasks.
@@ -125,10 +125,17 @@ TEMPLATES = {
     "reserved": "All rights reserved.",
 }
 GRAM, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.8
-#: Templates of fewer words are matched as they stand: with one word changed or put in, they name another licence or none.
+#: In templates of fewer words, words may be changed, but none put in or left out.
 EXACT = 15
 #: Words in a row that a match must hold, as they tell a licence from its neighbours.
 TELLING = {
+    "Apache-2.0": ("apache license version 2 0",),
+    "GPL-3.0": ("gnu general public license version 3",),
+    "MIT": ("mit license",),
+    "CC-BY-NC-4.0": ("cc by nc 4 0",),
+    "CC-BY-SA-4.0": ("cc by sa 4 0",),
+    "CC-BY-4.0": ("cc by 4 0",),
+    "CC0-1.0": ("cc0 1 0",),
     "Apache-2.0-notice": ("apache license", "version 2 0"),
     "GPL-2.0-notice": ("gnu general public license", "version 2 of the license"),
     "GPL-3.0-notice": ("gnu general public license", "version 3 of the license"),
@@ -246,20 +253,19 @@ class Scanner:
         found = []
         for t, seen in votes.items():
             seq, explained = self.words[t], set()
-            need = 1.0 if len(seq) < EXACT else self.coverage
             own = np.bincount(seq, minlength=len(self.vocabulary) + 1)
             for at, place, k in seen:
                 if (place, at) in explained:
                     continue
                 # no alignment covers more of the template than has a like word in reach
                 reach = ids[max(0, at - place - self.band) : at - place + len(seq) + self.band]
-                if np.minimum(own, np.bincount(reach + 1, minlength=len(own) + 1)[1:]).sum() < need * len(seq):
+                if np.minimum(own, np.bincount(reach + 1, minlength=len(own) + 1)[1:]).sum() < self.coverage * len(seq):
                     continue
                 pairs = align_through(seq, ids, at, place, k, self.band)
                 explained.update(pairs)
                 share = len(pairs) / len(seq)
                 spread = pairs[-1][1] - pairs[0][1] + 1
-                if share >= need and (len(seq) >= EXACT or spread == len(seq)) and self.tells(t, ids[pairs[0][1] : pairs[-1][1] + 1]):
+                if share >= self.coverage and (len(seq) >= EXACT or spread == pairs[-1][0] - pairs[0][0] + 1) and self.tells(t, ids[pairs[0][1] : pairs[-1][1] + 1]):
                     fit = len(pairs) / max(len(seq), pairs[-1][1] - pairs[0][1] + 1)
                     found.append((self.names[t], share, where[pairs[0][1]][0], where[pairs[-1][1]][1], fit))
         return self.select(found)

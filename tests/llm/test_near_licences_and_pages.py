@@ -11,7 +11,8 @@ NOTICES = {n: t for n, t in license_scan.TEMPLATES.items() if n.endswith("GPL-3.
 
 LINES = {
     "Released under the BSD License.": [],
-    "Released under the Apache License, Version 2.0.": [],
+    "Released under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "This work is licenced under the GNU General Public License, version 3.": ["GPL-3.0"],
     "Released under the MIT License.": ["MIT"],
     "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
     "This work is licensed under the GNU Lesser General Public License, version 3.": [],
