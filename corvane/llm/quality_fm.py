@@ -133,8 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS)
             arrays = [batch.column("doc_id"), batch.column("quality"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "quality", "index", "value"])
 
-    # at most sample_rows rows: small enough to broadcast and to collect
+    # at most sample_rows doc_ids: few enough to broadcast, and one row of each, however often it repeats, to collect
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.withColumn("quality", F.col("quality").cast("int"))), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     got = rows.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, index array<int>, value array<float>").toArrow()
     if not got.num_rows:
         return None
