@@ -26,5 +26,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # when asked, not on import: the modules of queries import this one
-    from corvane.plans import bootstrap_queries, core_queries, cue_queries, dataset_queries, judge_queries, model_queries, protocol_queries, report_queries, text_queries  # noqa: F401  fill the two tables
+    from corvane.plans import bootstrap_queries, core_queries, cue_queries, dataset_queries, judge_queries, model_queries, protocol_queries, report_queries, review_queries, text_queries  # noqa: F401  fill the two tables
 
