@@ -160,6 +160,21 @@ def normalised(text: str | None) -> str:
     return _SPACES.sub(" ", text or "").strip(" ").lower()
 
 
+def _in_word(c: str) -> bool:
+    return c == "_" or c.isascii() and c.isalnum()
+
+
+def states(said: str, span: str) -> bool:
+    """Whether a text holds a span that is no part of a longer word; both normalised."""
+    at = said.find(span)
+    while at >= 0:
+        end = at + len(span)
+        if not (at and _in_word(said[at - 1])) and not (end < len(said) and _in_word(said[end])):
+            return True
+        at = said.find(span, at + 1)
+    return False
+
+
 class Index:
     """From anchors to the rules of a cue; rules without anchors are always candidates."""
 
@@ -184,7 +199,7 @@ def find_hits(index: Index, text: str, cue: str, tokens: dict[str, str], prompt:
         kept = 0
         for m in _compiled(bound(rule.pattern, tokens)).finditer(text):
             span = normalised(m.group())
-            gone = bool(said) and _compiled(r"(?<!\w)" + re.escape(span) + r"(?!\w)").search(said) is not None
+            gone = bool(said) and states(said, span)
             hits.append({"rule": rule.name, "tier": rule.tier, "text": m.group(), "start": m.start(), "suppressed": gone})
             kept += not gone
             if kept >= most:

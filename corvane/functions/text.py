@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +105,11 @@ def commit_present(text: Column) -> Column:
     return text.rlike(rf"(?is){ANY_COMMIT}")
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def render_messages(turns: DataFrame, key: str, order: str) -> DataFrame:
     """(key, n_turns, rendered): the turns of each conversation as 'role: text' lines, in order."""
     turn = F.struct(F.col(order), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -134,7 +140,7 @@ def json_object_at(rest: Column) -> Column:
         return F.when(state["end"] > 0, state).otherwise(F.struct(depth.alias("depth"), read.alias("read"), F.when(done, read).otherwise(F.lit(0)).alias("end")))
 
     end = F.aggregate(F.regexp_extract_all(rest, F.lit(_JSON_PIECES), F.lit(1)), start, step)["end"]
-    return F.when(end > 0, F.substring(rest, F.lit(1), end))
+    return _bind(end, lambda e: F.when(e > 0, F.substring(rest, F.lit(1), e)))
 
 
 def first_json_object(text: Column) -> Column:
@@ -157,18 +163,21 @@ def judgement(raw: Column) -> Column:
     Null unless the label is the whole number -1, 0 or 1, as a number (cut to whole) or as digits in a string, and the confidence in [0, 1].
     A role that is none of the known ones and an empty quote are null and reject nothing.
     """
-    found = first_json_object(raw)
-    parsed = F.from_json(found, "label string, confidence string, hint_role string, hint_quote string, reasoning string", {"allowSingleQuotes": "false"})
-    quoted = lambda name: found.rlike(rf'"{name}"\s*:\s*"')
-    said = F.trim(parsed["label"])
-    label = F.when(quoted("label"), F.expr("NULL")).otherwise(F.when(said.rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"), said.try_cast("double").cast("int")))
-    label = F.coalesce(label, F.when(quoted("label") & said.rlike(r"^[+-]?[0-9]{1,9}$"), said.try_cast("int")))
-    sure = F.when(~quoted("confidence") & (parsed["confidence"] == "true"), 1.0).when(~quoted("confidence") & (parsed["confidence"] == "false"), 0.0).otherwise(parsed["confidence"].try_cast("double"))
-    role = F.translate(F.lower(F.trim(parsed["hint_role"])), "- ", "__")
-    role = F.when(role.isin("none", "neutral", "verification_only", "rejected", "credited"), role)
-    quote = F.when(quoted("hint_quote") & ~F.lower(F.trim(parsed["hint_quote"])).isin("", "null", "none"), F.trim(parsed["hint_quote"]))
-    good = label.isin(-1, 0, 1) & sure.between(0.0, 1.0)
-    return F.when(good, F.struct(label.alias("label"), sure.alias("confidence"), role.alias("role"), quote.alias("quote"), F.coalesce(parsed["reasoning"], F.lit("")).alias("reasoning")))
+    kinds = "label string, confidence string, hint_role string, hint_quote string, reasoning string"
+
+    def judged(found: Column, parsed: Column) -> Column:
+        quoted = lambda name: found.rlike(rf'"{name}"\s*:\s*"')
+        said = F.trim(parsed["label"])
+        label = F.when(~quoted("label") & said.rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"), said.try_cast("double").cast("int"))
+        label = F.coalesce(label, F.when(quoted("label") & said.rlike(r"^[+-]?[0-9]{1,9}$"), said.try_cast("int")))
+        sure = F.when(~quoted("confidence") & (parsed["confidence"] == "true"), 1.0).when(~quoted("confidence") & (parsed["confidence"] == "false"), 0.0).otherwise(parsed["confidence"].try_cast("double"))
+        role = F.translate(F.lower(F.trim(parsed["hint_role"])), "- ", "__")
+        role = F.when(role.isin("none", "neutral", "verification_only", "rejected", "credited"), role)
+        quote = F.when(quoted("hint_quote") & ~F.lower(F.trim(parsed["hint_quote"])).isin("", "null", "none"), F.trim(parsed["hint_quote"]))
+        made = F.struct(label.alias("label"), sure.alias("confidence"), role.alias("role"), quote.alias("quote"), F.coalesce(parsed["reasoning"], F.lit("")).alias("reasoning"))
+        return F.when(label.isin(-1, 0, 1) & sure.between(0.0, 1.0), made)
+
+    return _bind(first_json_object(raw), lambda found: _bind(F.from_json(found, kinds, {"allowSingleQuotes": "false"}), lambda parsed: judged(found, parsed)))
 
 
 def verdict(label: Column, error: Column) -> Column:
