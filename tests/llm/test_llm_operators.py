@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import statistics
+import time
 import zlib
 
 import numpy as np
@@ -337,6 +338,30 @@ def test_top_k_equals_brute_force(spark, sf_dir):
     assert topk_search.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_sends_no_copies_to_the_driver(spark, sf_dir, monkeypatch):
+    """Copies of candidate blocks, one for each query block, were broadcast, for they look small before they are made."""
+    monkeypatch.setattr(topk_search, "QUERIES", 1)
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    base = [(r["vec_id"], list(r["embedding"])) for r in table(spark, sf_dir, "embeddings").collect()]
+    rows = base + [(10_000 + 50 * i, base[i % len(base)][1]) for i in range(300)]
+    before = runs()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = rows_of(topk_search.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score")
+    assert got == plain_top(rows, 5)
+    time.sleep(2)  # the store follows the runs
+    several = lambda xs: [xs.apply(i) for i in range(xs.size())]
+    sent, units = [0], {"B": 1, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30}
+    for run in runs() - before:
+        values = store.executionMetrics(run)
+        for node in several(store.planGraph(run).allNodes()):
+            for m in several(node.metrics()) if node.name() == "BroadcastExchange" else ():
+                if m.name() == "data size" and values.contains(m.accumulatorId()):
+                    size, unit = values.apply(m.accumulatorId()).split()
+                    sent.append(float(size.replace(",", "")) * units[unit])
+    assert max(sent) < 8 * 2**20, sent
+
+
 def test_pruning_drops_no_result():
     rng = np.random.default_rng(2)
     c = np.floor(256 * rng.normal(0, 0.1, (1500, 64)))
