@@ -11,8 +11,8 @@ no other document has would count for it or against it by its label.  Raw occurr
 being written in a language of which few rows are trusted.  A document's score is the mean weight of its n-grams, and it is kept if no
 shape rule fails and the score reaches ``threshold``.
 
-DataFrame functions only.  The cell table has ``buckets`` rows whatever the input, which is what
-bounds the broadcast of it; the trusted ids are broadcast only after a count shows that
+DataFrame functions only.  The cell table has ``buckets`` cells whatever the input, which is what
+bounds the broadcast of it, and is held as rows of 2^``PAGE_BITS`` cells each, where a place is looked up faster than a row of its own; the trusted ids are broadcast only after a count shows that
 they are few, and joined by a shuffle otherwise.
 
 Edge cases: a null text has no words, so every count is 0 and it fails the length rule;
@@ -38,6 +38,8 @@ MAX_REPEAT_PERCENT = 50
 UNIT = 1_000_000
 #: Raw occurrences are weighted in whole parts of this.
 STRATUM_UNIT = 1024
+#: So many low bits of a cell are its place in one row of the broadcast table.
+PAGE_BITS = 10
 #: Trusted ids that are broadcast at most (16 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -115,7 +117,9 @@ def ngram_cells(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     hashes = with_hashes(rows.select(*keep, "text")).select(*keep, "_q_h")
     pairs = hashes.withColumn("_q_p", joined_hashes(F.col("_q_h")))
     grams = pairs.select(*keep, F.explode(F.concat("_q_h", "_q_p")).alias("_q_gram"))
-    return grams.select(*keep, F.pmod("_q_gram", F.lit(buckets)).cast("int").alias("cell"))
+    # of a power of two the remainder is the low bits, which are read faster
+    cell = F.col("_q_gram").bitwiseAND(F.lit(buckets - 1)) if buckets & (buckets - 1) == 0 else F.pmod("_q_gram", F.lit(buckets))
+    return grams.select(*keep, cell.cast("int").alias("cell"))
 
 
 def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -151,6 +155,16 @@ def cell_counts(weighed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counts.crossJoin(F.broadcast(totals))
 
 
+def cell_pages(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(page, ts, rs, scale): the counts of 2^``PAGE_BITS`` neighbouring cells as arrays, zeros for cells that no document has."""
+    every = counts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("cell"))
+    filled = every.join(counts, "cell", "left").groupBy(F.shiftright("cell", PAGE_BITS).alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("cell", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r")))).alias("of"),
+        F.max("scale").alias("scale"),
+    )
+    return filled.select("page", F.col("of.t").alias("ts"), F.col("of.r").alias("rs"), "scale")
+
+
 def annotate_quality(
     docs: DataFrame, trusted: DataFrame, *, strata: str | None = "lang", buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -167,14 +181,16 @@ def annotate_quality(
     flagged = flag_trusted(rows.select("_q_a", "_q_b", "doc_id", "text", stratum.alias("_q_stratum")), trusted)
     shaped = written(with_shape(flagged).drop("doc_id", "_q_h"), "shape")
     weighed = flagged.join(stratum_weights(shaped), F.col("_q_stratum").eqNullSafe(F.col("_q_s"))).drop("_q_s")
-    cells = F.broadcast(cell_counts(weighed, buckets))
-    t = F.greatest(F.col("t") - F.col("_q_good"), F.lit(0)) * F.col("scale")
-    r = F.greatest(F.col("r") - F.col("_q_w"), F.lit(0))
+    pages = F.broadcast(written(cell_pages(cell_counts(weighed, buckets), buckets), "pages"))
+    place = F.col("cell").bitwiseAND((1 << PAGE_BITS) - 1)
+    t = F.greatest(F.get("ts", place) - F.col("_q_good"), F.lit(0)) * F.col("scale")
+    r = F.greatest(F.get("rs", place) - F.col("_q_w"), F.lit(0))
     # counts of the raw corpus are in parts of STRATUM_UNIT, and so is the scale
     weight = F.log((t + F.lit(prior * STRATUM_UNIT)) / (r + F.lit(prior * STRATUM_UNIT)))
     scores = (
         ngram_cells(weighed, ["_q_a", "_q_b", "_q_good", "_q_w"], buckets)
-        .join(cells, "cell")
+        .withColumn("page", F.shiftright("cell", PAGE_BITS))
+        .join(pages, "page")
         .groupBy("_q_a", "_q_b")
         .agg(F.sum(F.floor(weight * UNIT + 0.5)).alias("_q_sum"), F.count("*").alias("_q_n"))
     )

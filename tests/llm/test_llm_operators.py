@@ -338,27 +338,33 @@ def test_top_k_equals_brute_force(spark, sf_dir):
     assert topk_search.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_top_k_sends_no_copies_to_the_driver(spark, sf_dir, monkeypatch):
-    """Copies of candidate blocks, one for each query block, were broadcast, for they look small before they are made."""
-    monkeypatch.setattr(topk_search, "QUERIES", 1)
+def broadcast_bytes(spark, run):
+    """The sizes of all broadcasts made while ``run`` is called."""
     store = spark._jsparkSession.sharedState().statusStore()
-    runs = lambda: {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
-    base = [(r["vec_id"], list(r["embedding"])) for r in table(spark, sf_dir, "embeddings").collect()]
-    rows = base + [(10_000 + 50 * i, base[i % len(base)][1]) for i in range(300)]
+    several = lambda xs: [xs.apply(i) for i in range(xs.size())]
+    runs = lambda: {x.executionId() for x in several(store.executionsList())}
     before = runs()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = rows_of(topk_search.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score")
-    assert got == plain_top(rows, 5)
+    run()
     time.sleep(2)  # the store follows the runs
-    several = lambda xs: [xs.apply(i) for i in range(xs.size())]
-    sent, units = [0], {"B": 1, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30}
-    for run in runs() - before:
-        values = store.executionMetrics(run)
-        for node in several(store.planGraph(run).allNodes()):
+    sizes, units = [0], {"B": 1, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30}
+    for i in runs() - before:
+        values = store.executionMetrics(i)
+        for node in several(store.planGraph(i).allNodes()):
             for m in several(node.metrics()) if node.name() == "BroadcastExchange" else ():
                 if m.name() == "data size" and values.contains(m.accumulatorId()):
                     size, unit = values.apply(m.accumulatorId()).split()
-                    sent.append(float(size.replace(",", "")) * units[unit])
+                    sizes.append(float(size.replace(",", "")) * units[unit])
+    return sizes
+
+
+def test_top_k_sends_no_copies_to_the_driver(spark, sf_dir, monkeypatch):
+    """Copies of candidate blocks, one for each query block, were broadcast, for they look small before they are made."""
+    monkeypatch.setattr(topk_search, "QUERIES", 1)
+    base = [(r["vec_id"], list(r["embedding"])) for r in table(spark, sf_dir, "embeddings").collect()]
+    rows = base + [(10_000 + 50 * i, base[i % len(base)][1]) for i in range(300)]
+    df, got = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), []
+    sent = broadcast_bytes(spark, lambda: got.extend(rows_of(topk_search.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score")))
+    assert got == plain_top(rows, 5)
     assert max(sent) < 8 * 2**20, sent
 
 
@@ -538,6 +544,18 @@ def test_scores_equal_brute_force(spark, small, sf_dir):
         assert math.isclose(got[k], weight.mean() if g else 0.0, abs_tol=2e-6)
 
 
+def test_cells_are_broadcast_as_pages(spark, small, sf_dir):
+    """A row for each of the 2^20 cells was slow to look up, and larger."""
+    counts = spark.createDataFrame([(0, 5, 7, 2.0), (1023, 1, 3, 2.0), (1024, 0, 9, 2.0), (2999, 4, 4, 2.0)], "cell int, t long, r long, scale double")
+    pages = {r["page"]: r for r in quality_rules.cell_pages(counts, 3000).collect()}
+    assert {p: len(r["ts"]) for p, r in pages.items()} == {0: 1024, 1: 1024, 2: 952} and all(len(r["ts"]) == len(r["rs"]) for r in pages.values())
+    found = {(p << 10) + i: (t, r) for p, row in pages.items() for i, (t, r) in enumerate(zip(row["ts"], row["rs"], strict=True)) if t or r}
+    assert found == {0: (5, 7), 1023: (1, 3), 1024: (0, 9), 2999: (4, 4)}
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    sent = broadcast_bytes(spark, lambda: quality_rules.annotate_quality(small, trusted).collect())
+    assert max(sent) < 40 * 2**20, sent
+
+
 def test_held_out_junk_goes_and_clean_stays(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     half = labels.where("quality = 1 and crc32(string(doc_id)) % 2 = 0")  # every other id would leave a language out
