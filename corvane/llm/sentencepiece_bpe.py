@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -41,7 +42,8 @@ NONE = np.iinfo(np.int64).max
 class PieceCodec:
     """Encodes as the library's BPE model does; decodes with the library.
 
-    ``memory``: segments remembered at most; beyond it the memory starts anew.
+    ``memory``: segments remembered at most; beyond it only those of the texts at hand stay.  An executor's Python
+    workers keep their memories through the tasks of other operators, so that it is part of what all of these need.
     """
 
     _made: dict[str, PieceCodec] = {}
@@ -53,7 +55,7 @@ class PieceCodec:
             cls._made[model_file] = cls(model_file)
         return cls._made[model_file]
 
-    def __init__(self, model_file: str, memory: int = 800_000) -> None:
+    def __init__(self, model_file: str, memory: int = 250_000) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -174,8 +176,8 @@ class PieceCodec:
                 out.append(self.library.unk_id())
         return out
 
-    def learn(self, segments: list[str]) -> list[tuple[bytes, str]]:
-        """Encodes new segments, as packed ids and as text, and checks them against the library."""
+    def learn(self, segments: list[str]) -> list[bytes]:
+        """Encodes new segments, as packed ids, and checks them against the library."""
         together = [k for k, s in enumerate(segments) if len(s) <= TOGETHER]
         merged: list[list[int] | None] = [None] * len(segments)
         if together:
@@ -186,14 +188,14 @@ class PieceCodec:
         marked = [s[0] == MARK for s in segments]
         plain = [s[1:].replace(MARK, " ") if m else lead + s for s, m in zip(segments, marked, strict=True)]
         skip = len(self.library.encode(lead)) if lead else 0
-        out, decimal = [], self.decimal
+        out = []
         for s, ids, exact, m in zip(segments, merged, self.library.encode(plain, num_threads=1), marked, strict=True):
             if ids is None:
                 ids = self.merge(s)
             if s != MARK and (m or lead) and ids != (exact if m else exact[skip:]):
                 self.differ.add(s)
-            # packed ids are nothing that the garbage collector has to follow
-            out.append((np.array(ids, np.uint32).tobytes(), ",".join([decimal[i] for i in ids])))
+            # packed ids are small, and nothing that the garbage collector has to follow
+            out.append(array("I", ids).tobytes())
         return out
 
     def split(self, text: str) -> tuple[list[str], bool]:
@@ -203,28 +205,27 @@ class PieceCodec:
             return single.split(" "), True
         return self.segments.findall(MARK + text.replace(" ", MARK)) if text else [], False
 
-    def encode_all(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str, bool]]:
         """Of each text: the ids, the same as decimals joined by commas, whether the library agrees."""
         split = [self.split(text) for text in texts]
         for plain, known in ((True, self.words), (False, self.known)):
             all_found = [found for found, words in split if words == plain]
             new = set().union(*(set(found).difference(known) for found in all_found))
             if len(known) + len(new) > self.memory:
+                kept = {s: known[s] for s in set().union(*all_found).difference(new)}
                 known.clear()
-                new = set().union(*all_found)
+                known.update(kept)
             order = sorted(new)  # any order would do; this one makes runs alike
             known.update(zip(order, self.learn([MARK + s if plain and s[0] != "\n" else s for s in order]), strict=True))
-        out = []
+        decimal = self.decimal
         for found, plain in split:
             known = self.words if plain else self.known
-            parts = [known[s] for s in found]
             agrees = not self.differ or self.differ.isdisjoint(found) and self.differ.isdisjoint([MARK + s for s in found])
-            ids = np.frombuffer(b"".join([p[0] for p in parts]), np.uint32).tolist()
-            out.append((ids, ",".join([p[1] for p in parts]), agrees))
-        return out
+            ids = np.frombuffer(b"".join([known[s] for s in found]), np.uint32).tolist()
+            yield ids, ",".join([decimal[i] for i in ids]), agrees
 
     def encode(self, text: str) -> tuple[list[int], str]:
-        return self.encode_all([text])[0][:2]
+        return next(self.encode_all([text]))[:2]
 
 
 def encode_decode(docs: DataFrame, model_file: str, *, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -248,7 +249,7 @@ def encode_decode(docs: DataFrame, model_file: str, *, key: str = "doc_id", keep
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.array(ids, np.int32))  # a tenth of a list's memory
                     all_text.append(decoded)
             columns = [batch.column(key), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(agrees)]
             columns += [pa.array(all_ids, extra[0][1]), pa.array(all_text, pa.string())] if keep_ids else []

@@ -163,6 +163,24 @@ def test_odd_texts_and_long_words_equal_the_library():
         assert ids == codec.library.encode(text) and joined == ",".join(map(str, ids)) and same
 
 
+def test_what_a_worker_remembers_is_small_and_keeps_the_words_at_hand():
+    import tracemalloc
+
+    codec = sentencepiece_bpe.PieceCodec(piece_model())
+    tracemalloc.start()
+    n = sum(len(codec.encode(" ".join(f"word{k}x{i}" for i in range(1000)))[0]) > 0 for k in range(20))
+    each = tracemalloc.get_traced_memory()[0] / (1000 * n)
+    tracemalloc.stop()
+    # a worker has it beside the tasks of all other stages, two workers an executor
+    assert len(codec.words) == 20_000 and each * codec.memory < 100e6
+    codec, taught, learn = sentencepiece_bpe.PieceCodec(piece_model(), memory=40), [], sentencepiece_bpe.PieceCodec.learn
+    codec.learn = lambda segments: taught.extend(segments) or learn(codec, segments)
+    for k in range(30):
+        text = "some words that all texts hold, " + " ".join(f"own{k}n{i}" for i in range(10))
+        assert codec.encode(text)[0] == codec.library.encode(text) and len(codec.words) <= 40
+    assert len(taught) == len(set(taught))
+
+
 # ---- op9
 
 PROSE_BLOCK = "This is the text of the page and it has all of the words that one would expect to find in it. " * 3
