@@ -1,21 +1,23 @@
 """Models fitted on every fold at once: TF-IDF features with a vocabulary of the training rows, and logistic regression.
 
-The folds' rows lie in one table.  A pass over it gives the gradients of all folds: tasks add up their rows with the
-weights of all folds, Spark adds up the tasks, and folds x (features + 1) numbers reach the driver, a bound that does not
-depend on the rows.  Each fold stops where the area under the curve of its validation rows no longer grows.
+The folds' rows lie in one table.  A pass over it gives the gradients of all folds: tasks add up their rows, packed once,
+with the weights of all folds, and few sums of folds x (features + 1) numbers reach the driver, a bound that does not
+depend on the rows: Spark adds up those of many tasks first.  Each fold stops where the area under the curve of its validation rows no longer grows.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import stats
 
@@ -23,6 +25,8 @@ MAX_FEATURES, MIN_DF, GRAMS = 20_000, 5, 2
 #: Adam's step and decays, the penalty of squared weights, steps between looks at the validation rows, looks without gain.
 RATE, DECAYS, L2 = 0.1, (0.9, 0.999), 1e-4
 STEPS, PATIENCE, LOOKS = 10, 2, 10
+#: Terms that a task counts before it hands them on; rows that Python works off at a time; numbers that a pass may send to the driver.
+HELD_TERMS, PACKED, COLLECTED = 100_000, 2000, 1 << 21
 
 
 def grams(words: Column, n: int = GRAMS) -> Column:
@@ -35,20 +39,86 @@ def grams(words: Column, n: int = GRAMS) -> Column:
     return F.concat(words, *[of(k) for k in range(2, n + 1)])
 
 
-def _counted(rows: DataFrame, words: str, key: list[str], n: int) -> DataFrame:
-    return rows.select(*key, F.explode(grams(F.col(words), n)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+def list_grams(words: list[str | None], n: int = GRAMS) -> list[str]:
+    """The same of a list; nulls are no words."""
+    words = [w for w in words if w is not None]
+    out = list(words)
+    for k in range(2, n + 1):
+        out += map(" ".join, zip(*(words[i:] for i in range(k)), strict=False))
+    return out
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, PACKED):
+            yield batch.slice(k, PACKED)
+
+
+def _rows_of_grams(batch: pa.RecordBatch, words: str, n: int) -> Iterator[tuple[list[str | None], list[str]]]:
+    """(folds, grams) of each run of rows with the same words, which a row's folds are: they are read once."""
+    column = batch.column(words)
+    ends = column.offsets.to_numpy()
+    values, ends = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False), ends - ends[0]
+    folds: list[str | None] = []
+    for i, fold in enumerate(batch.column("fold").to_pylist()):
+        if folds and not (column[i].is_valid and column[i].equals(column[i - 1])):
+            yield folds, list_grams(values[ends[i - 1] : ends[i]], n)
+            folds = []
+        folds.append(fold)
+    if folds:
+        yield folds, list_grams(values[ends[-2] : ends[-1]], n)
+
+
+def _tallies(rows: DataFrame, words: str, folds: list[str], n: int) -> DataFrame:
+    """(term, at, df, n): how many rows of the folds whose place in ``at`` is "1" hold a term and how often they do.
+
+    A term comes in a few pieces: each task adds up what it reads, ``HELD_TERMS`` terms at a time.
+    """
+    places = {f: k for k, f in enumerate(folds)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for at, (df, more) in held.items():
+                for times in set(at) - {0}:  # a fold with several rows of the same words counts each
+                    where = "".join("1" if k == times else "0" for k in at)
+                    counts = np.fromiter(df.values(), np.int64, len(df))
+                    extra = np.fromiter((more[t] for t in df) if more else (0 for _ in df), np.int64, len(df))
+                    columns = [pa.array(df.keys(), pa.string()), pa.array([where] * len(df), pa.string()), pa.array(counts * times), pa.array((counts + extra) * times)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["term", "at", "df", "n"])
+            held.clear()
+
+        for batch in _parts(batches):
+            for found_in, found in _rows_of_grams(batch, words, n):
+                at = [0] * len(folds)
+                for f in found_in:
+                    at[places[f]] += 1
+                df, more = held.setdefault(tuple(at), (Counter(), Counter()))
+                own = Counter(found)
+                df.update(own.keys())
+                if len(own) < len(found):
+                    more.update({t: c - 1 for t, c in own.items() if c > 1})
+                if sum(len(kept) for kept, _ in held.values()) > HELD_TERMS:
+                    yield from close()
+        yield from close()
+
+    return rows.select("fold", words).mapInArrow(run, "term string, at string, df long, n long")
 
 
 def fit_tfidf(rows: DataFrame, words: str, key: str, folds: list[str], *, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, n: int = GRAMS) -> DataFrame:
     """(fold, term, place, df, idf): each fold's vocabulary, of its training rows alone.
 
-    ``rows``: (fold, role, key, words).  Of the terms in at least ``min_df`` rows the ``max_features`` most frequent
-    are kept, of equals the first by name, and are numbered by name.  Folds are few and named by the caller; each takes a
-    bounded first part of its sorted terms.
+    ``rows``: (fold, role, key, words), a key once a fold.  Of the terms in at least ``min_df`` rows the ``max_features`` most
+    frequent are kept, of equals the first by name, and are numbered by name.  Rows don't move: tasks hand on terms with
+    their counts, which are shuffled once for all folds, and each task keeps a bounded first part of a fold's sorted terms.
     """
-    train = rows.where("role = 'train'")
-    seen = _counted(train, words, ["fold", key], n).groupBy("fold", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= min_df)
-    top = reduce(DataFrame.unionByName, [seen.where(F.col("fold") == f).orderBy(F.desc("n"), "term").limit(max_features) for f in folds])
+    train = rows.where(F.col("fold").isin(folds) & (F.col("role") == "train"))
+    of = lambda c, k: F.sum(F.when(F.substring("at", k + 1, 1) == "1", F.col(c)).otherwise(0))
+    by_term = _tallies(train, words, folds, n).groupBy("term").agg(*[of(c, k).alias(f"{c}{k}") for k in range(len(folds)) for c in ("df", "n")])
+    each = [F.struct(F.lit(f).alias("fold"), F.col(f"df{k}").alias("df"), F.col(f"n{k}").alias("n")) for k, f in enumerate(folds)]
+    seen = by_term.select("term", F.explode(F.filter(F.array(*each), lambda x: x["df"] >= F.greatest(F.lit(min_df), F.lit(1)))).alias("x")).select("term", "x.*")
+    top = seen.withColumn("_k", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("n"), "term"))).where(F.col("_k") <= max_features)
     sizes = train.groupBy("fold").agg(F.count("*").alias("rows"))
     place = F.row_number().over(Window.partitionBy("fold").orderBy("term")) - 1  # max_features rows a fold
     idf = F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1
@@ -58,15 +128,33 @@ def fit_tfidf(rows: DataFrame, words: str, key: str, folds: list[str], *, max_fe
 def transform_tfidf(rows: DataFrame, vocabulary: DataFrame, words: str, key: str, *, n: int = GRAMS) -> DataFrame:
     """``rows`` without words, with idx array<int> and val array<double>: (1 + ln tf) idf, scaled to length one; empty where no term is known.
 
-    The vocabulary, folds x max_features rows at most, is sent to the rows.
+    The vocabulary, folds x max_features rows at most, is collected once and sent to the rows, which don't move.
     """
-    tf = _counted(rows, words, ["fold", key], n).join(F.broadcast(vocabulary), ["fold", "term"])
-    x = F.struct(F.col("place").alias("i"), ((1 + F.log("tf")) * F.col("idf")).alias("x"))
-    made = tf.groupBy("fold", key).agg(F.array_sort(F.collect_list(x)).alias("xs"))
-    norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda a, p: a + p["x"] * p["x"]))
-    made = made.select("fold", key, F.transform("xs", lambda p: p["i"]).alias("idx"), F.transform("xs", lambda p: p["x"] / norm).alias("val"))
-    out = rows.drop(words).join(made, ["fold", key], "left")
-    return out.withColumns({"idx": F.coalesce("idx", F.array().cast("array<int>")), "val": F.coalesce("val", F.array().cast("array<double>"))})
+    known: dict[str, dict[str, tuple[int, float]]] = {}
+    for r in vocabulary.select("fold", "term", "place", "idf").collect():
+        known.setdefault(r["fold"], {})[r["term"]] = (r["place"], r["idf"])
+    terms = {t for own in known.values() for t in own}
+    rest = [c for c in rows.columns if c != words]
+    schema = T.StructType([*rows.select(*rest).schema.fields, T.StructField("idx", T.ArrayType(T.IntegerType())), T.StructField("val", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            entries, sizes = [], []
+            for folds, found in _rows_of_grams(batch, words, n):
+                counts = Counter([t for t in found if t in terms])
+                for fold in folds:
+                    own = known.get(fold, {})
+                    here = sorted((*own[t], c) for t, c in counts.items() if t in own)
+                    entries += here
+                    sizes.append(len(here))
+            place, idf, tf = np.array(entries, np.float64).reshape(-1, 3).T
+            row, x = np.repeat(np.arange(len(sizes)), sizes), (1 + np.log(tf)) * idf
+            x = x / np.sqrt(np.bincount(row, weights=x * x, minlength=len(sizes)))[row]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (place.astype(np.int32), x)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *lists], names=[*rest, "idx", "val"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def standardise(rows: DataFrame, column: str) -> DataFrame:
@@ -147,22 +235,30 @@ class Models:
         return plain.mapInArrow(run, schema)
 
 
-def _sums(features: DataFrame, make: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    size = shape[0] * shape[1]
+def _packed(rows: DataFrame, order: dict[str, int]) -> RDD:
+    """``rows`` (fold, y, idx, val) as pickled arrays of ``PACKED`` rows each, (y, *_flat), so that no pass reads Arrow lists again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            made = pickle.dumps((part.column("y").to_numpy().astype(float), *_flat(part, order)), protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["block"])
+
+    return rows.select("fold", "y", "idx", "val").mapInArrow(run, "block binary").rdd.map(lambda r: bytes(r["block"]))
+
+
+def _sums(blocks: RDD, make: Callable[..., np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of ``make`` over blocks: a job of one stage, unless so many tasks have sums that Spark first adds them up in parts."""
+
+    def run(parts: Iterator[bytes]) -> Iterator[np.ndarray]:
         total = np.zeros(shape)
-        for batch in batches:
-            if batch.num_rows:
-                total += make(batch)
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(flat[at])], names=["at", "x"])
+        for part in parts:
+            total += make(*pickle.loads(part))
+        yield total
 
-    out = np.zeros(size)
-    for r in features.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-        out[r["at"]] = r["x"]
-    return out.reshape(shape)
+    made, tasks = blocks.mapPartitions(run), blocks.getNumPartitions()
+    if tasks * shape[0] * shape[1] <= COLLECTED:
+        return sum(made.collect(), np.zeros(shape))
+    return made.treeReduce(np.add)
 
 
 def class_weights(n0: float, n1: float) -> tuple[float, float]:
@@ -191,11 +287,12 @@ def fit_logistic(features: DataFrame, folds: list[str], size: int, *, balanced:
     best, area, took = fit.w.copy(), np.full(len(folds), -1.0), [0] * len(folds)
     left = np.full(len(folds), patience)
     live = np.array(n0) + np.array(n1) > 0
+    blocks = _packed(train, order).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(looks):
             for _ in range(steps):
                 w = fit.w
-                fit.step(_sums(train, lambda b, w=w: gradient(w, b.column("y").to_numpy().astype(float), weight, *_flat(b, order)), fit.w.shape), live & (left > 0))
+                fit.step(_sums(blocks, lambda y, *rest, w=w: gradient(w, y, weight, *rest), fit.w.shape), live & (left > 0))
             now = Models(folds, fit.w, [], [])
             seen = {r["fold"]: r["auroc"] for r in stats.auroc(now.predict(val, ["y"]), "y", "score", ["fold"]).collect()}
             for i, f in enumerate(folds):
@@ -210,6 +307,7 @@ def fit_logistic(features: DataFrame, folds: list[str], size: int, *, balanced:
             if not (live & (left > 0)).any():
                 break
     finally:
+        blocks.unpersist()
         used.unpersist()
     return Models(folds, best, [float(a) if a >= 0 else None for a in area], took)
 

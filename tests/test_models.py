@@ -102,3 +102,35 @@ def test_standardised_by_training_rows(spark):
     sd = v[:40].std(axis=0)
     sd[2] = 1
     assert np.allclose([got[i] for i in range(60)], (v - v[:40].mean(axis=0)) / sd, atol=1e-4)
+
+
+def test_rows_stay_where_they_are_and_words_are_read_once_a_pass(spark):
+    rows = [(f, "train" if k % 2 else "val", k, [*"abc"[: k % 4], None, "d"], k % 2) for k in range(40) for f in "xy"]
+    df = spark.createDataFrame(rows, "fold string, role string, key long, w array<string>, y int").repartition(3)
+    vocabulary = models.fit_tfidf(df, "w", "key", ["x", "y"], max_features=5, min_df=2)
+    plan = vocabulary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan.split("MapInArrow")[1]  # both folds in one pass, no row a word
+    x = models.transform_tfidf(df, vocabulary, "w", "key")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(n in plan for n in ("Join", "Aggregate", "Generate", "Window"))
+    for f in "xy":
+        assert [r["term"] for r in vocabulary.where(F.col("fold") == f).orderBy("place").collect()] == ["a", "a b", "a d", "b", "d"]
+    got = x.where("key = 2 and fold = 'y'").first()
+    assert got["idx"] == [0, 1, 3, 4] and got["role"] == "val" and x.count() == 80 and abs(np.linalg.norm(got["val"]) - 1) < 1e-12
+
+
+def test_a_step_is_a_job_of_one_stage(spark, folds):
+    _, df = folds
+    sc = spark.sparkContext
+    blocks = models._packed(df.where("fold = 'a' and y is not null"), {"a": 0}).cache()
+    blocks.count()
+    stages = {}
+    for name, run in (("count", blocks.count), ("step", lambda: models._sums(blocks, lambda y, fold, row, place, value: np.array([[len(y), value.sum()]]), (1, 2)))):
+        sc.setJobGroup(name, name)
+        total = run()
+        stages[name] = [len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup(name)]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages["step"]) == 1 and stages["step"] == stages["count"]  # no shuffle of its own
+    assert total[0, 0] == 242 and np.isclose(total[0, 1], folds[0]["a"][0].sum() + 9.0)
+    many = models._sums(blocks.repartition(7), lambda y, *rest: np.full((1, models.COLLECTED), len(y)), (1, models.COLLECTED))
+    assert (many == 242).all()
