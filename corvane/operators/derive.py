@@ -49,7 +49,7 @@ def baseline_votes(rows: DataFrame) -> DataFrame:
     kept = F.struct("n_top_votes", "sample_answers", "baseline_status")
     first = rows.groupBy("source_csv", "original_index").agg(F.min_by(kept, "seq").alias("b"))
     status = rows.groupBy("source_csv").agg(F.max(F.col("baseline_status").isNotNull()).alias("has_status"))
-    return first.select("source_csv", "original_index", "b.*").join(F.broadcast(status), "source_csv")  # one row a source
+    return first.select("source_csv", "original_index", "b.*").join(status, "source_csv")  # sources may be as many as rows: Spark broadcasts them where they are few
 
 
 def _letter(c: str) -> Column:
@@ -70,13 +70,15 @@ def derive_rows(judged: DataFrame, pairs: DataFrame, baseline: DataFrame, *, tok
     for c in JUDGED:
         if c not in judged.columns:
             judged = judged.withColumn(c, F.lit(None).cast("string"))
-    with_status = baseline.groupBy("source_csv").agg(F.max("has_status").alias("has_status"))
-    rows = joins.checked_join(judged.select("source_csv", *JUDGED), pairs.select("source_csv", *PAIR), ["source_csv"], every_left=True, name="sources")
-    rows = rows.join(F.broadcast(with_status), "source_csv", "left")  # one row a source
-    rows = joins.checked_join(rows, baseline.drop("has_status"), ["source_csv", "original_index"], name="baseline")
     rollout = F.coalesce(F.col("rollout"), F.lit(""))
     trace = F.coalesce(_filled("reasoning"), text.extract_cot(rollout, open_mark, close))
-    cut = F.when(F.trim(rollout) == "", True).otherwise(text.extract_cot(rollout, open_mark, close) == "")
+    # what is made of texts is made first, so that no shuffle holds them
+    read = {"_cut": F.when(F.trim(rollout) == "", True).otherwise(text.extract_cot(rollout, open_mark, close) == ""), "_marker": rollout.rlike(MARKER), "_len": token_len(trace) if token_len else F.lit(None).cast("long")}
+    judged = judged.select("source_csv", *[c for c in JUDGED if c not in ("rollout", "reasoning")], *[v.alias(k) for k, v in read.items()])
+    with_status = baseline.groupBy("source_csv").agg(F.max("has_status").alias("has_status"))
+    rows = joins.checked_join(judged, pairs.select("source_csv", *PAIR), ["source_csv"], every_left=True, name="sources")
+    rows = rows.join(with_status, "source_csv", "left")
+    rows = joins.checked_join(rows, baseline.drop("has_status"), ["source_csv", "original_index"], name="baseline")
     label = F.col("judge_label").try_cast("double").cast("byte")
     answer, before, target = F.col("final_answer"), F.col("baseline_answer"), F.col("hinted_answer")
     expected = F.coalesce(*[F.when(F.col("sample_type") == k, v) for k, v in CASE_STATUS.items()])
@@ -86,8 +88,8 @@ def derive_rows(judged: DataFrame, pairs: DataFrame, baseline: DataFrame, *, tok
         "baseline_stability": F.col("n_top_votes").try_cast("double"), "baseline_hint_votes": manifest.hint_votes(F.col("sample_answers"), _letter("hinted_answer")), "model_answer": _letter("final_answer"),
         "changed": manifest.changed(answer, before), "to_hint": manifest.outcome(answer, before, target) == "switched", "judge_model": F.when(label.isNotNull(), _filled("judge_model")),
         "judge_prompt": F.when(label.isNotNull(), F.col("judge_prompt")), "judge_label": label, "judge_confidence": F.col("judge_confidence").try_cast("double"), "judge_role": F.when(F.col("judge_role").isin(*ROLES), F.col("judge_role")),
-        "hint_quote": _filled("judge_hint_quote"), "judge_label_final": label, "judge_label_final_model": F.when(label.isNotNull(), _filled("judge_model")), "trace_token_len": token_len(trace) if token_len else F.lit(None), "truncated": cut,
-        "max_tokens_used": F.col("max_tokens"), "split": F.lit(None), "is_resample": F.lit(False), "_marker": rollout.rlike(MARKER),
+        "hint_quote": _filled("judge_hint_quote"), "judge_label_final": label, "judge_label_final_model": F.when(label.isNotNull(), _filled("judge_model")), "trace_token_len": F.col("_len"), "truncated": F.col("_cut"),
+        "max_tokens_used": F.col("max_tokens"), "split": F.lit(None), "is_resample": F.lit(False), "_marker": F.col("_marker"),
         "_relabelled": F.coalesce(F.col("has_status"), F.lit(False)) & ~F.col("baseline_status").eqNullSafe(expected),
     }
     rows = rows.select("source_csv", "original_index", "dataset", "dataset_split", "subject_model", "subject_model_id", "run", "baseline_n_samples", "degraded", *[v.alias(k) for k, v in made.items()])

@@ -47,3 +47,8 @@ def test_totals_that_differ_fail(spark):
     for bad in (cells.withColumn("e", F.col("e") + 1), cells.withColumn("e", F.when(F.col("o") == 3, 0.0).otherwise(8.0))):
         with pytest.raises(Exception, match="totals differ|not positive"):
             tails.pearson(bad, "o", "e", ["g"]).collect()
+
+
+def test_sources_as_many_as_rows_are_not_broadcast(spark, sf_dir):
+    plan = protocol_queries.manifest_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
