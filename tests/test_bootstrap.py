@@ -123,3 +123,25 @@ def test_gap_of_few_pairs(spark, sf_dir):
         validation.cross_model_gap(sample, frame, pair, cell, primary="no|one", reps=20)
     rates = validation.audit_rates(one.withColumn("arbiter_label", F.lit(-1)), frame, pair, cell, "hint_style").collect()
     assert all(r["arbiter_reweighted_rate"] is None and r["arbiter_raw_rate"] is None for r in rates)
+
+
+def test_level_one_holds_a_row_a_block_and_piece_of_replicates(spark):
+    """Counts grow with the blocks alone: no piece of draws has counts of its own."""
+    sizes = spark.createDataFrame([("big", 3_000_000), ("small", 5)], "stratum string, n long")
+    got = bootstrap._draws(sizes, 60, 3).groupBy("stratum").agg(F.count("*").alias("rows"), F.max(F.length("counts")).alias("bytes")).collect()
+    assert {r["stratum"]: (r["rows"], r["bytes"]) for r in got} == {"big": (2930 * 2, 100), "small": (2, 100)}
+
+
+@pytest.mark.parametrize("n", [1, 1024, 1025, 70_000])
+def test_hashes_in_place_name_the_same_draws(n):
+    reps = np.arange(3, 6)
+    counts = bootstrap.block_counts(9, "x", n, reps)
+    blocks = -(-n // bootstrap.BLOCK)
+    stats = np.random.default_rng(n).integers(0, 9, (bootstrap.BLOCK, 2)) * np.array([1.0, 0.37])
+    every = bootstrap.block_counts(9, "x", n, np.arange(6))[:, -1]
+    sums = bootstrap.block_sums(9, "x", n, blocks - 1, every, stats)
+    for k, rep in enumerate(reps):
+        units = np.array(draws(9, "x", n, int(rep)))
+        assert (np.bincount(units // bootstrap.BLOCK, minlength=blocks) == counts[k]).all()
+        last = units[units >= (blocks - 1) * bootstrap.BLOCK] - (blocks - 1) * bootstrap.BLOCK
+        assert np.allclose(sums[rep], stats[last].sum(axis=0), rtol=1e-12)
