@@ -38,9 +38,13 @@ def _filled(t: str) -> list[str]:
     return t.replace("{L}", "\0L\0").replace("{N}", "\0N\0").replace("{K}", "\0K\0").split("\0")
 
 
-def _column(t: str) -> Column:
-    known = {"L": F.col("target_option"), "N": F.expr(N.replace("o", "original_index")).cast("string"), "K": F.expr(K.replace("o", "original_index")).cast("string")}
-    return F.concat(*[known[p] if p in known else F.lit(p) for p in _filled(t)])
+def _taken(texts: tuple[str, ...], n: Column) -> Column:
+    """The n-th text with its letters and numbers filled in; null where it needs a letter that the row lacks."""
+    text = F.get(F.array(*map(F.lit, texts)), n.cast("int"))
+    for name, value in (("N", N), ("K", K)):
+        text = F.replace(text, F.lit("{" + name + "}"), F.expr(value.replace("o", "original_index")).cast("string"))
+    letter = F.col("target_option")
+    return F.when(letter.isNotNull() | ~F.contains(text, F.lit("{L}")), F.replace(text, F.lit("{L}"), F.coalesce(letter, F.lit(""))))
 
 
 def _sql(t: str) -> str:
@@ -53,11 +57,10 @@ PLACES = ("trace_token_len % 10", "(trace_token_len // 10) % 10", "(trace_token_
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rollout_id, hint_style, target_option, prompt, hinted_prompt, reasoning) of the rollout view; every 37th question has a blank one."""
-    pick = lambda texts, n: F.get(F.array(*map(_column, texts)), n.cast("int"))
     places = [F.expr(p.replace("//", "div")) for p in PLACES]
-    text = F.concat_ws(" ", *[pick(SAID, p) for p in places])
-    prompt = pick(ASKED, F.col("original_index") % 3)
-    added = F.get(F.array(*map(_column, ADDED.values())), (F.array_position(F.array(*map(F.lit, ADDED)), F.col("hint_style")) - 1).cast("int"))
+    text = F.concat_ws(" ", *[_taken(SAID, p) for p in places])
+    prompt = _taken(ASKED, F.col("original_index") % 3)
+    added = _taken(tuple(ADDED.values()), F.array_position(F.array(*map(F.lit, ADDED)), F.col("hint_style")) - 1)
     return rollouts(spark, sf_dir).select("rollout_id", "hint_style", "target_option", prompt.alias("prompt"), F.concat(prompt, F.lit("\n\n"), added).alias("hinted_prompt"), F.when(F.col("original_index") % 37 == 0, F.lit(" ")).otherwise(text).alias("reasoning"))
 
 
