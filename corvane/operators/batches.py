@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hexadecimal digits of a hash that name its cell: 4,096 cells.
 DIGITS = 3
@@ -18,11 +20,12 @@ def shuffled_place(rows: DataFrame, key: str, seed: int, name: str = "place") ->
     A key that repeats shares its hash; its rows are ordered by nothing else, so keys should be unique.
     """
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key)), 256)
-    rows = rows.withColumn("_h", h).withColumn("_c", F.conv(F.substring("_h", 1, DIGITS), 16, 10).cast("int"))
+    rows = rows.withColumn("_c", F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("int"))
     cells = rows.groupBy("_c").agg(F.count("*").alias("_n"))
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a cell
     place = F.row_number().over(Window.partitionBy("_c").orderBy("_h", key)) - 1
-    placed = rows.withColumn("_p", place).join(F.broadcast(cells), "_c")
+    # rows are dealt by their cell alone and hashed again there: the hash is longer than most rows
+    placed = rows.repartition("_c").withColumn("_h", h).withColumn("_p", place).join(F.broadcast(cells), "_c")
     return placed.withColumn(name, F.col("_before") + F.col("_p")).drop("_h", "_c", "_n", "_p", "_before")
 
 
@@ -47,17 +50,38 @@ def token_batches(rows: DataFrame, key: str, length: str, *, most_tokens: int, m
     if min(most_tokens, most_rows, buckets) < 1:
         raise ValueError("budgets must be at least 1")
     placed = shuffled_place(rows, key, seed, "_place") if shuffle else _in_order(rows, key)
-    placed = placed.withColumn("chunk", F.floor(F.col("_place") / (most_rows * buckets)).cast("long")).withColumn("_len", F.coalesce(F.col(length).cast("long"), F.lit(0)))
-    slim = placed.select("chunk", "_place", "_len")
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_len", "_place"], kind="stable")
-        return part.assign(batch=pack(part["_len"].tolist(), most_tokens, most_rows))[["chunk", "_place", "_len", "batch"]]
-
-    made = slim.groupBy("chunk").applyInPandas(fill, "chunk long, _place long, _len long, batch long")
-    sizes = made.groupBy("chunk", "batch").agg(F.count("*").alias("batch_rows"), (F.count("*") * F.max("_len")).alias("padded"))
-    named = made.drop("_len").join(sizes, ["chunk", "batch"])
-    return placed.drop("_len").join(named, ["chunk", "_place"]).drop("_place")
+    kept = rows.columns
+    chunk = F.floor(F.col("_place") / (most_rows * buckets)).cast("long")
+    dealt = placed.select(*kept, "_place").repartition(chunk)  # what follows from a row is made behind the shuffle
+    dealt = dealt.withColumns({"chunk": chunk, "_len": F.coalesce(F.col(length).cast("long"), F.lit(0))}).sortWithinPartitions("chunk", "_len", "_place")
+
+    def filled(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Whole chunks, sorted: a batch's rows lie together, the longest last."""
+        chunk, lengths = part.column("chunk").to_numpy(), part.column("_len").to_numpy()
+        ends = [*(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
+        batch = np.array([b for first, end in zip([0, *ends], ends, strict=False) for b in pack(lengths[first:end].tolist(), most_tokens, most_rows)], np.int64)
+        new = np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (batch[1:] != batch[:-1])])
+        own = np.cumsum(new) - 1
+        n = np.bincount(own)
+        longest = lengths[np.cumsum(n) - 1]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, (chunk, batch, n[own], (n * longest)[own]))], names=[*kept, "chunk", "batch", "batch_rows", "padded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if batch.num_rows:
+                chunk = batch.column("chunk").to_numpy()
+                last = int(np.searchsorted(chunk, chunk[-1]))  # the last chunk may go on in the next batch
+                if last:
+                    yield filled(batch.slice(0, last))
+                held = batch.slice(last)
+        if held is not None:
+            yield filled(held)
+
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.LongType()) for c in ("chunk", "batch", "batch_rows", "padded")]])
+    return dealt.mapInArrow(run, schema)
 
 
 def _in_order(rows: DataFrame, key: str) -> DataFrame:

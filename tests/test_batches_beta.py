@@ -49,6 +49,21 @@ def test_shuffled_batches_depend_on_the_seed_alone(spark):
         batches.token_batches(df, "k", "n", most_tokens=0, most_rows=1)
 
 
+def test_rows_are_dealt_by_cell_and_by_chunk_without_hashes(spark):
+    df = spark.createDataFrame([(f"r{i}", i % 90) for i in range(300)], "k string, n long")
+    made = batches.token_batches(df, "k", "n", most_tokens=300, most_rows=8, buckets=3, seed=1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "FlatMapGroups" not in plan and made.columns == ["k", "n", "chunk", "batch", "batch_rows", "padded"]
+    below = [x.split("_h#")[0] for x in plan.split("RepartitionByExpression")[1:]]
+    assert len(below) == 2 and "sha2" not in plan.split("RepartitionByExpression")[-1].split("Project")[0]
+    many = batches.token_batches(spark.range(30_000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("n")), "k", "n", most_tokens=40, most_rows=5, buckets=2).collect()
+    sizes = {}
+    for r in many:
+        sizes.setdefault((r["chunk"], r["batch"]), []).append(r)
+    assert len(many) == 30_000 and all(len(b) == b[0]["batch_rows"] and b[0]["padded"] == len(b) * max(r["n"] for r in b) for b in sizes.values())
+    assert {c: sum(len(b) for (d, _), b in sizes.items() if d == c) for c in (0, 2999)} == {0: 10, 2999: 10}
+
+
 def test_prefix_lengths(spark):
     rows = spark.range(2000).select((F.col("id") % 50).alias("n"), batches.prefix_lengths(F.col("id") % 50, 0.3, F.lit(1), F.col("id")).alias("p")).collect()
     assert all(max(1, math.ceil(0.3 * r["n"] - 1e-9)) <= r["p"] <= max(1, r["n"]) for r in rows)
