@@ -23,14 +23,14 @@ def required(df: DataFrame, condition: Column, message: Column) -> DataFrame:
 def unique(df: DataFrame, keys: list[str], name: str, counted: str | None = None) -> DataFrame:
     """``df`` dealt by its keys, one row each; a repeated key, or a null in one, fails the job.  ``counted`` names a column for the number of rows, 1."""
     rest = [c for c in df.columns if c not in keys]
-    value = F.struct(*rest) if rest else F.struct(F.lit(1).alias("_one"))
-    one = df.groupBy(*keys).agg(F.count("*").alias("_u_n"), F.first(value).alias("_u_v"))
+    # a value each, so that columns that nobody reads are not dealt
+    one = df.groupBy(*keys).agg(F.count("*").alias("_u_n"), *[F.first(c).alias(c) for c in rest])
     present = F.lit(True)
     for k in keys:
         present = present & F.col(k).isNotNull()
     one = required(one, (F.col("_u_n") == 1) & present, F.concat(F.lit(f"{name}: not one row for "), shown(keys)))
     more = [F.col("_u_n").alias(counted)] if counted else []
-    return one.select(*[F.col(f"_u_v.{c}").alias(c) if c in rest else F.col(c) for c in df.columns], *more)
+    return one.select(*df.columns, *more)
 
 
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], kind: str = "m:1", *, every_left: bool = False, every_right: bool = False, name: str = "join") -> DataFrame:

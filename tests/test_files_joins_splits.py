@@ -121,3 +121,14 @@ def test_extension_moves_no_old_question(spark):
     assert "several splits" in failing(splits.carry_over(df, two))
     with pytest.raises(ValueError):
         splits.question_splits(df, 1, (0.8, 0.3))
+
+
+def test_columns_that_nobody_reads_are_not_dealt(spark):
+    from corvane.operators import joins
+    from pyspark.sql import functions as F
+
+    wide = spark.range(20).select(F.col("id").alias("k"), *[F.concat(F.lit("v"), F.col("id")).alias(f"wide_{c}") for c in "abc"])
+    plan = joins.unique(wide, ["k"], "wide").select("k", "wide_b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "wide_b" in plan and "wide_a" not in plan and "wide_c" not in plan and "raise_error" in plan
+    with pytest.raises(Exception, match="wide: not one row for k=1"):
+        joins.unique(wide.unionByName(wide.where("k = 1")), ["k"], "wide").select("k").collect()
